@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from strideframe.checks import export_files
-from strideframe.checks.cleaning_queries import METRICS, days, master, runs
+from strideframe.checks.cleaning_queries import METRICS, days, kept_days, master, runs
 from strideframe.checks.oracle_tables import (ROLLING, clock, day_label, distance, filled, fixed, signed,
                                               week_end)
 from strideframe.checks.registry import register
@@ -27,11 +27,14 @@ def series(w: Warehouse, fill: bool = False) -> DataFrame:
     return B.block_series(days(w), w.blocks(), fill)
 
 
+def kept_series(w: Warehouse) -> DataFrame:
+    """Block series over the kept daily series, for queries that read it more than once."""
+    return B.block_series(kept_days(w), w.blocks())
+
+
 def summary(w: Warehouse) -> DataFrame:
-    """Race evaluation and block slices read the same daily series, so it is kept once."""
-    daily_series = days(w)
-    races = R.evaluate_races(w.calendar(), daily_series)
-    return B.block_summary(B.block_series(daily_series, w.blocks()), w.blocks(), races)
+    races = R.evaluate_races(w.calendar(), kept_days(w))
+    return B.block_summary(kept_series(w), w.blocks(), races)
 
 
 def bests(w: Warehouse) -> DataFrame:
@@ -81,7 +84,7 @@ register("q04_personal_best_headline", lambda w: R.personal_best_headline(bests(
          "(SELECT q.label FROM pb AS q WHERE q.athlete_id = p.athlete_id AND q.pace_minutes IS NOT NULL "
          f"ORDER BY q.pace_minutes, q.label LIMIT 1) AS fastest_race, {day_label('max(event_date)')} AS most_recent_race "
          "FROM pb AS p GROUP BY athlete_id")
-register("j12_blocks_from_events", lambda w: R.blocks_from_events(w.calendar()),
+register("f08_blocks_from_events", lambda w: R.blocks_from_events(w.calendar()),
          "WITH s AS (SELECT athlete_id, date AS start_date, split_part(label, ' ', 1) AS word FROM cal "
          "WHERE event_type = 'training_block_start'), r AS (SELECT athlete_id, race_date, label, "
          "split_part(label, ' ', 1) AS word FROM races), p AS (SELECT s.athlete_id, s.start_date, min(r.race_date) AS race_date, "
@@ -107,7 +110,7 @@ FILL = ("(SELECT athlete_id, block_name, date, days_from_start, last_value(vo2Ma
 register("w03_filled_block_series",
          lambda w: series(w, True).select("athlete_id", "block_name", "date", "days_from_start", "vo2MaxValue", "Marathon_pred"),
          f"SELECT * FROM {FILL}", "vo2MaxValue Marathon_pred")
-register("q05_w09_prediction_curve", lambda w: B.prediction_curve(series(w), summary(w)),
+register("q05_w09_prediction_curve", lambda w: B.prediction_curve(kept_series(w), summary(w)),
          'SELECT s.athlete_id, s.block_name, s.date, s."Marathon_pred", m.final_prediction, m.final_prediction - 2 AS band_lower, '
          'm.final_prediction + 2 AS band_upper, m.stable_date FROM series AS s JOIN summary AS m USING (athlete_id, block_name) '
          'WHERE s."Marathon_pred" IS NOT NULL', "Marathon_pred final_prediction band_lower band_upper")
@@ -211,7 +214,7 @@ register("q01_monthly_volume", lambda w: O.monthly_volume(runs(w), "km"),
          f"SELECT athlete_id, p AS month_end, v AS distance_miles, v * 1.609344 AS distance FROM ({MONTHS})",
          "distance_miles distance")
 WEEKS = filled("days", "athlete_id", week_end("date"), "total_distance_miles")
-register("q02_timeline", lambda w: O.timeline(days(w), summary(w)),
+register("q02_timeline", lambda w: O.timeline(kept_days(w), summary(w)),
          f"SELECT athlete_id, 'weekly_distance' AS series, p AS date, v AS value, NULL AS label FROM ({WEEKS}) UNION ALL "
          "SELECT athlete_id, 'vo2_max', date, vo2MaxValue, NULL FROM days UNION ALL "
          'SELECT athlete_id, \'marathon_prediction\', date, "Marathon_pred", NULL FROM days WHERE "Marathon_pred" IS NOT NULL UNION ALL '

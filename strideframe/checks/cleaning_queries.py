@@ -19,13 +19,21 @@ def runs(w: Warehouse):
 
 
 def master(w: Warehouse):
-    return athlete_tables.build_tables(w.raw())["daily_master"]
+    return daily.daily_master(runs(w), **{n: w.family(n) for n in (
+        "metrics", "predictions", "maxmet", "readiness", "history")})
 
 
 def days(w: Warehouse):
     return athlete_tables.analysis_series(master(w))
 
 
+def kept_days(w: Warehouse):
+    """The daily series, cached: one row per athlete and day, read by several branches of one
+    query. A lost executor's part is computed again from its lineage. Equal plans share one
+    cache entry, so repeated calls do not add copies."""
+    return days(w).cache()
+
+
 SCALED = ("duration_minutes distance_km distance_miles elevation_gain_m elevation_loss_m "
           "max_speed_mps avg_speed_mps avg_stride_length_m elapsed_duration_minutes "
           "moving_duration_minutes")

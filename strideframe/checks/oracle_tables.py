@@ -90,8 +90,8 @@ def first_by(table: str, order: str, pick: str = "first") -> str:
 
 
 def _history_last(column: str, pick: str = "max") -> str:
-    order = ("source_file || '|' || coalesce(trainingStatus, '') || '|' || "
-             "coalesce(fitnessLevelTrend, '') || '|' || coalesce(loadLevelTrend, '')")
+    order = ("source_file || '!' || coalesce(trainingStatus, '') || '!' || "
+             "coalesce(fitnessLevelTrend, '') || '!' || coalesce(loadLevelTrend, '')")
     return f"arg_{pick}({column}, {order}) FILTER (WHERE {column} IS NOT NULL)"
 
 
@@ -299,5 +299,7 @@ def with_ctes(select: str, rounded: str = "") -> str:
     if rounded:
         terms = ", ".join(f'round("{c}", 6) + 0e0 AS "{c}"' for c in rounded.split())
         select = f"SELECT * REPLACE ({terms}) FROM ({select})"
+    elif select.startswith("WITH"):
+        select = f"SELECT * FROM ({select})"
     prefix = ", ".join(f"{name} AS ({CTES[name].strip()})" for name in needed)
     return f"WITH {prefix} {select}" if prefix else select

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strideframe.checks.cleaning_queries import days, runs
+from strideframe.checks.cleaning_queries import days, kept_days, runs
 from strideframe.checks.oracle_tables import ROLLING, filled, rolling_std, week_end
 from strideframe.checks.registry import register
 from strideframe.checks.warehouse import Warehouse
@@ -151,7 +151,7 @@ def _asof_orders(w: Warehouse, direction: str):
                               matched="matched_day", tie_break=["matched_key"], direction=direction)
 
 
-def _asof_orders_sql(best: str, op: str) -> str:
+def _asof_orders_sql(op: str) -> str:
     series = (f"(SELECT o_custkey, day AS at, arg_max(o_totalprice, o_orderkey) AS o_totalprice, "
               f"max(o_orderkey) AS matched_key FROM {ORDERS} WHERE NOT ({URGENT}) GROUP BY ALL)")
     return (f"SELECT l.o_orderkey, l.o_custkey, l.day, r.at AS matched_day, r.o_totalprice, r.matched_key "
@@ -159,8 +159,8 @@ def _asof_orders_sql(best: str, op: str) -> str:
             f"ON l.o_custkey = r.o_custkey AND l.day {op} r.at")
 
 
-register("j06_asof_backward", lambda w: _asof_orders(w, "backward"), _asof_orders_sql("max", ">="), "o_totalprice")
-register("j06_asof_forward", lambda w: _asof_orders(w, "forward"), _asof_orders_sql("min", "<="), "o_totalprice")
+register("j06_asof_backward", lambda w: _asof_orders(w, "backward"), _asof_orders_sql(">="), "o_totalprice")
+register("j06_asof_forward", lambda w: _asof_orders(w, "forward"), _asof_orders_sql("<="), "o_totalprice")
 
 
 def _asof_events(w: Warehouse):
@@ -337,12 +337,12 @@ def _trend_sql(source: str, x: str, y: str) -> str:
 
 
 register("a35_local_trend_acwr",
-         lambda w: stats.local_trend(B.loaded_days(B.block_series(days(w), w.blocks())),
+         lambda w: stats.local_trend(B.loaded_days(B.block_series(kept_days(w), w.blocks())),
                                      "rolling_std_7_Marathond", "dailyAcuteChronicWorkloadRatio", TREND_POINTS),
          _trend_sql("(SELECT * FROM series WHERE total_training_load > 0)", '"rolling_std_7_Marathond"',
                     "dailyAcuteChronicWorkloadRatio"), "x trend")
 register("a35_local_trend_readiness",
-         lambda w: stats.local_trend(B.loaded_days(B.block_series(days(w), w.blocks())),
+         lambda w: stats.local_trend(B.loaded_days(B.block_series(kept_days(w), w.blocks())),
                                      "rolling_std_7_Marathond", "readiness_score_mean", TREND_POINTS),
          _trend_sql("(SELECT * FROM series WHERE total_training_load > 0)", '"rolling_std_7_Marathond"',
                     "readiness_score_mean"), "x trend")

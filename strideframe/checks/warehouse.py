@@ -38,7 +38,7 @@ FAMILIES: dict[str, tuple[str, dict[str, str]]] = {
         "avgPower": "CASE WHEN k % 4 = 0 THEN NULL ELSE 200e0 + k / 3e0 END",
         "maxPower": "250e0 + k",
         "avgDoubleCadence": "160e0 + k / 7e0",
-        "activityTrainingLoad": "CASE WHEN k % 12 = 0 THEN NULL ELSE value / 3e0 END",
+        "activityTrainingLoad": "CASE WHEN k % 12 = 0 THEN NULL ELSE value / 3.017331e0 END",
         "aerobicTrainingEffect": "k / 21e0",
         "anaerobicTrainingEffect": "k / 33e0",
         "pr": "k % 9 = 0",
@@ -56,8 +56,8 @@ FAMILIES: dict[str, tuple[str, dict[str, str]]] = {
         "acwrStatus": "CASE k % 4 WHEN 0 THEN 'OPTIMAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'LOW' END",
         "acwrStatusFeedback": "'FEEDBACK_' || CAST(k % 5 AS STRING)",
         "dailyTrainingLoadAcute": "100e0 + value",
-        "dailyTrainingLoadChronic": "120e0 + k",
-        "dailyAcuteChronicWorkloadRatio": "(100e0 + value) / (120e0 + k)",
+        "dailyTrainingLoadChronic": "120e0 + k * 1.013117e0",
+        "dailyAcuteChronicWorkloadRatio": "(100e0 + value) / (120e0 + k * 1.013117e0)",
     }),
     "predictions": ("'view', 'purchase', 'error', 'click'", {
         "raceTime5K": "CASE WHEN k % 12 = 0 THEN NULL ELSE 1200e0 + k * 1.5e0 END",
@@ -66,13 +66,13 @@ FAMILIES: dict[str, tuple[str, dict[str, str]]] = {
         "raceTimeMarathon": "CASE WHEN k % 15 = 0 THEN NULL ELSE 11400e0 + k * 2.2e0 END",
     }),
     "readiness": ("", {
-        "score": "CASE WHEN event_type = 'error' THEN NULL ELSE k * 1e0 END",
+        "score": "CASE WHEN event_type = 'error' THEN NULL ELSE k * 1.003117e0 END",
         "level": "CASE WHEN k % 5 = 0 THEN NULL WHEN k < 30 THEN 'LOW' "
                  "WHEN k < 70 THEN 'MODERATE' ELSE 'HIGH' END",
         "recoveryTime": "CASE WHEN k % 6 = 0 THEN NULL ELSE value * 10e0 END",
         "acuteLoad": "100e0 + value",
         "hrvWeeklyAverage": "CASE WHEN k % 20 = 0 THEN 511e0 WHEN k % 7 = 0 THEN NULL "
-                            "ELSE 40e0 + k / 3e0 END",
+                            "ELSE 40e0 + k * 0.317311e0 END",
         "sleepScore": "CASE WHEN k % 3 = 0 THEN NULL ELSE 50e0 + k / 3e0 END",
         "validSleep": "CASE WHEN k % 4 = 0 THEN NULL ELSE k % 2 = 0 END",
     }),
@@ -129,11 +129,19 @@ class Warehouse:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._frames: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._frames:  # finding the schema of a file costs a job
+            self._frames[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._frames[name]
 
     def events(self) -> DataFrame:
+        if "mapped events" not in self._frames:
+            self._frames["mapped events"] = self._mapped_events()
+        return self._frames["mapped events"]
+
+    def _mapped_events(self) -> DataFrame:
         return self.table("events").select(
             "event_id", "user_id", F.col("user_id").cast("string").alias("athlete_id"),
             F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("ts").cast("date").alias("date"),

@@ -8,6 +8,8 @@ join key because a key holds one row per side.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strideframe.functions import columns as X, constants as K
@@ -104,20 +106,29 @@ def prediction_labels(predictions: DataFrame) -> DataFrame:
         {name: X.seconds_to_hms(raw) for name, raw in K.PREDICTION_SECONDS.items()})
 
 
+def _one_per_day(source: DataFrame, columns: Sequence[str], keep: str) -> DataFrame:
+    """The wanted columns of one row per day. Columns are cut before the deduplication, which
+    packs whole rows and would otherwise read and shuffle all of them."""
+    narrow = clean.select_existing(source, [*DAY, *clean.ORDER_COLUMNS, *columns])
+    return clean.dedup_dates(narrow, keep).drop(*clean.ORDER_COLUMNS)
+
+
 def join_metrics(days: DataFrame, metrics: DataFrame) -> DataFrame:
-    side = clean.select_existing(clean.dedup_dates(metrics, "first"), [*DAY, *K.METRIC_COLUMNS])
-    return days.join(side, list(DAY), "left")
+    return days.join(_one_per_day(metrics, K.METRIC_COLUMNS, "first"), list(DAY), "left")
 
 
 def join_predictions(days: DataFrame, predictions: DataFrame) -> DataFrame:
-    side = clean.select_existing(clean.dedup_dates(predictions, "last"),
-                                 [*DAY, *K.PREDICTION_COLUMNS])
+    """`predictions` holds the seconds, or already the text columns."""
+    if "Marathon_pred" in predictions.columns:
+        side = _one_per_day(predictions, K.PREDICTION_COLUMNS, "last")
+    else:
+        raw = list(K.PREDICTION_SECONDS.values())
+        side = prediction_labels(_one_per_day(predictions, raw, "last")).drop(*raw)
     return days.join(side, list(DAY), "left")
 
 
 def join_maxmet(days: DataFrame, maxmet: DataFrame) -> DataFrame:
-    side = clean.select_existing(clean.dedup_dates(maxmet, "last"), [*DAY, *K.MAXMET_COLUMNS])
-    return days.join(side, list(DAY), "left")
+    return days.join(_one_per_day(maxmet, K.MAXMET_COLUMNS, "last"), list(DAY), "left")
 
 
 def join_readiness(days: DataFrame, readiness: DataFrame) -> DataFrame:

@@ -96,11 +96,11 @@ def with_days_from_start(days: DataFrame, keys: Sequence[str], date_col: str = "
 
 def value_at_first(value: str, date_col: str = "date") -> Column:
     """Aggregate: the value on the first date, NULL if it is NULL there."""
-    return F.min_by(F.struct(value), date_col).getField(0)
+    return F.min_by(F.struct(F.col(value).alias("v")), date_col).getField("v")
 
 
 def value_at_last(value: str, date_col: str = "date") -> Column:
-    return F.max_by(F.struct(value), date_col).getField(0)
+    return F.max_by(F.struct(F.col(value).alias("v")), date_col).getField("v")
 
 
 def drift(value: str, date_col: str = "date") -> Column:

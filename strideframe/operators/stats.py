@@ -185,31 +185,36 @@ def local_trend(df: DataFrame, x: str, y: str, points: int = 21, share: float =
 
     Each point is a straight-line fit weighted by the tricube of the distance, over a
     neighbourhood that reaches the nearest `share` of all rows. The plotting convention adds
-    robust re-weighting passes; they are left out. Three aggregations do the work, each with
-    one fixed set of sums per grid point: no row is repeated per grid point and no pairs of
-    rows are formed. The reach is an approximate percentile (exact below 10,000 rows).
+    robust re-weighting passes; they are left out. Three passes do the work: the ends of x,
+    then the reach of every grid point, then one fixed set of sums per grid point. The first
+    two results are single rows, handed on as scalar subqueries; no row is repeated per grid
+    point and no pairs of rows are formed. The reach is an approximate percentile (exact
+    below 10,000 rows). `df` is read three times, so a costly input should be persisted.
     """
     data = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where(
         F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    ends = data.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
-    grid = [lo + (hi - lo) * (i / (points - 1)) for i in range(points)]
-    reach = data.agg(*[
+
+    def grid(lo: Column, hi: Column) -> list[Column]:
+        return [lo + (hi - lo) * (i / (points - 1)) for i in range(points)]
+
+    ends = data.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi")).alias("ends"))
+    spread_out = data.select("_x", ends.scalar().alias("_e"))
+    reach = spread_out.agg(F.struct(F.max("_e.lo").alias("lo"), F.max("_e.hi").alias("hi"), *[
         F.percentile_approx(F.abs(F.col("_x") - g), share, 10_000).alias(f"h{i}")
-        for i, g in enumerate(grid)])
+        for i, g in enumerate(grid(F.col("_e.lo"), F.col("_e.hi")))]).alias("reach"))
 
     def sums(i: int, g: Column) -> Column:
-        h = reach.select(f"h{i}").scalar()
-        ratio = F.least(F.abs(F.col("_x") - g) / F.nullif(h, F.lit(0.0)), F.lit(1.0))
-        w = F.pow(1 - F.pow(ratio, 3), 3)
         dx = F.col("_x") - g
+        ratio = F.least(F.abs(dx) / F.nullif(F.col(f"_p.h{i}"), F.lit(0.0)), F.lit(1.0))
+        w = F.pow(1 - F.pow(ratio, 3), 3)
         return F.struct(
             F.lit(i).cast("bigint").alias("point"), F.max(g).alias("x"), F.sum(w).alias("w"),
             F.sum(w * dx).alias("wx"), F.sum(w * F.col("_y")).alias("wy"),
             F.sum(w * dx * dx).alias("wxx"), F.sum(w * dx * F.col("_y")).alias("wxy"))
 
-    fits = data.agg(F.array(*[sums(i, g) for i, g in enumerate(grid)]).alias("_all")).select(
-        F.inline("_all"))
+    fits = data.select("_x", "_y", reach.scalar().alias("_p")).agg(F.array(*[
+        sums(i, g) for i, g in enumerate(grid(F.col("_p.lo"), F.col("_p.hi")))
+    ]).alias("_all")).select(F.inline("_all"))
     # centred on the grid point, the intercept of the weighted line is the trend there
     det = F.nullif(F.col("w") * F.col("wxx") - F.col("wx") * F.col("wx"), F.lit(0.0))
     trend = (F.col("wxx") * F.col("wy") - F.col("wx") * F.col("wxy")) / det

@@ -70,9 +70,8 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     which the right side is unique.
     """
     keys, payload = list(keys), list(payload)
-    ties = [c for c in tie_break if c not in payload]
-    picked = F.max_by(F.struct(F.col(right_time).alias("_at"), *_named(payload)),
-                      F.struct(*_named(ties or []), *_named(payload)))
+    rank = [c.alias(f"r{i}") for i, c in enumerate(_named([*tie_break, *payload]))]
+    picked = F.max_by(F.struct(F.col(right_time).alias("_at"), *_named(payload)), F.struct(*rank))
     stops = (right.where(F.col(right_time).isNotNull())
              .groupBy(*keys, F.col(right_time).alias("_t")).agg(picked.alias("_hit")))
     probes = (left.where(F.col(left_time).isNotNull())

@@ -23,10 +23,15 @@ def build_tables(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "maxmet": raw["maxmet"],
         "history": raw["history"],
     }
-    tables["daily_master"] = daily.daily_master(**tables)
+    # the master deduplicates for itself, on the few columns it takes
+    tables["daily_master"] = daily.daily_master(**{**raw_daily(raw), "runs": runs})
     return tables
 
 
+def raw_daily(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    return {name: raw[name] for name in ("metrics", "predictions", "maxmet", "readiness", "history")}
+
+
 def without_identifiers(df: DataFrame) -> DataFrame:
     return clean.drop_columns(df, K.IDENTIFYING_COLUMNS)
 
