@@ -43,11 +43,11 @@ FAMILIES: dict[str, tuple[str, dict[str, str]]] = {
         "anaerobicTrainingEffect": "k / 33e0",
         "pr": "k % 9 = 0",
         "vO2MaxValue": "45e0 + k / 11e0",
-        "startLatitude": "CASE WHEN k % 11 = 0 THEN NULL ELSE user_id % 60 - 30e0 + value / 300e0 END",
+        "startLatitude": "CASE WHEN k % 11 = 0 THEN NULL ELSE user_id % 60 - 30e0 + value / 299.7173e0 END",
         "startLongitude": "user_id % 100 - 50e0 + k / 30e0",
         "endLatitude": "CASE WHEN k % 11 = 0 OR k % 7 = 0 THEN NULL "
-                       "WHEN k % 5 = 0 THEN user_id % 60 - 30e0 + value / 300e0 "
-                       "ELSE user_id % 60 - 30e0 + value / 290e0 END",
+                       "WHEN k % 5 = 0 THEN user_id % 60 - 30e0 + value / 299.7173e0 "
+                       "ELSE user_id % 60 - 30e0 + value / 289.7173e0 END",
         "endLongitude": "CASE WHEN k % 7 = 0 THEN NULL ELSE user_id % 100 - 50e0 + k / 30e0 END",
         **_ZONES,
     }),
@@ -56,8 +56,8 @@ FAMILIES: dict[str, tuple[str, dict[str, str]]] = {
         "acwrStatus": "CASE k % 4 WHEN 0 THEN 'OPTIMAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'LOW' END",
         "acwrStatusFeedback": "'FEEDBACK_' || CAST(k % 5 AS STRING)",
         "dailyTrainingLoadAcute": "100e0 + value",
-        "dailyTrainingLoadChronic": "120e0 + k * 1.013117e0",
-        "dailyAcuteChronicWorkloadRatio": "(100e0 + value) / (120e0 + k * 1.013117e0)",
+        "dailyTrainingLoadChronic": "120e0 + k * 1.0131170737e0",
+        "dailyAcuteChronicWorkloadRatio": "(100e0 + value) / (120e0 + k * 1.0131170737e0)",
     }),
     "predictions": ("'view', 'purchase', 'error', 'click'", {
         "raceTime5K": "CASE WHEN k % 12 = 0 THEN NULL ELSE 1200e0 + k * 1.5e0 END",
@@ -66,13 +66,13 @@ FAMILIES: dict[str, tuple[str, dict[str, str]]] = {
         "raceTimeMarathon": "CASE WHEN k % 15 = 0 THEN NULL ELSE 11400e0 + k * 2.2e0 END",
     }),
     "readiness": ("", {
-        "score": "CASE WHEN event_type = 'error' THEN NULL ELSE k * 1.003117e0 END",
+        "score": "CASE WHEN event_type = 'error' THEN NULL ELSE k * 1.0031170737e0 END",
         "level": "CASE WHEN k % 5 = 0 THEN NULL WHEN k < 30 THEN 'LOW' "
                  "WHEN k < 70 THEN 'MODERATE' ELSE 'HIGH' END",
         "recoveryTime": "CASE WHEN k % 6 = 0 THEN NULL ELSE value * 10e0 END",
         "acuteLoad": "100e0 + value",
         "hrvWeeklyAverage": "CASE WHEN k % 20 = 0 THEN 511e0 WHEN k % 7 = 0 THEN NULL "
-                            "ELSE 40e0 + k * 0.317311e0 END",
+                            "ELSE 40e0 + k * 0.3173110737e0 END",
         "sleepScore": "CASE WHEN k % 3 = 0 THEN NULL ELSE 50e0 + k / 3e0 END",
         "validSleep": "CASE WHEN k % 4 = 0 THEN NULL ELSE k % 2 = 0 END",
     }),

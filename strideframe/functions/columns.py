@@ -86,6 +86,16 @@ def _positive(value: Column) -> Column:
     return F.when((value > 0) & ~F.isnan(value), value)
 
 
+def _joined(first: Column, *rest: Column, width: int = 1) -> Column:
+    """`first:02:02` text; NULL when any part is. Plain concatenation: format_string would
+    parse its pattern for every row."""
+    def padded(part: Column, digits: int) -> Column:
+        text = part.cast("string")
+        return text if digits == 1 else F.when(part < 10, F.concat(F.lit("0"), text)).otherwise(text)
+
+    return F.concat(padded(first, width), *[x for p in rest for x in (F.lit(":"), padded(p, 2))])
+
+
 def pace_label(speed_mps: ColumnOrName, unit: str = "mile") -> Column:
     """Speed in m/s -> pace `m:ss` per mile or km; NULL when missing or not positive."""
     metres = K.METRES_PER_MILE if unit == "mile" else K.METRES_PER_KM
@@ -93,8 +103,7 @@ def pace_label(speed_mps: ColumnOrName, unit: str = "mile") -> Column:
     minutes = F.floor(pace)
     # rint rounds half to even; the sum carries a rounded-up 60th second into the minute.
     total = (minutes * 60 + F.rint((pace - minutes) * 60)).cast("bigint")
-    return F.when(total.isNotNull(), F.format_string(
-        "%d:%02d", F.floor(total / 60), F.pmod(total, F.lit(60))))
+    return _joined(F.floor(total / 60), F.pmod(total, F.lit(60)))
 
 
 def mean_pace(speed_mps: ColumnOrName) -> Column:
@@ -110,7 +119,7 @@ def _clock_parts(total: Column) -> tuple[Column, Column, Column]:
 def seconds_to_hms(seconds: ColumnOrName) -> Column:
     """Seconds -> `HH:MM:SS`, rounded half to even; hours are not capped at 24."""
     total = F.rint(as_col(seconds)).cast("bigint")
-    return F.when(total.isNotNull(), F.format_string("%02d:%02d:%02d", *_clock_parts(total)))
+    return _joined(*_clock_parts(total), width=2)
 
 
 def minutes_label(minutes: ColumnOrName) -> Column:
@@ -118,8 +127,7 @@ def minutes_label(minutes: ColumnOrName) -> Column:
     total = F.rint(as_col(minutes) * 60).cast("bigint")
     hours, mins, secs = _clock_parts(total)
     return (F.when(total.isNull(), "N/A")
-            .when(hours > 0, F.format_string("%d:%02d:%02d", hours, mins, secs))
-            .otherwise(F.format_string("%d:%02d", mins, secs)))
+            .when(hours > 0, _joined(hours, mins, secs)).otherwise(_joined(mins, secs)))
 
 
 def prediction_minutes(value: ColumnOrName) -> Column:
