@@ -31,7 +31,7 @@ def kept_days(w: Warehouse):
     """The daily series, cached: one row per athlete and day, read by several branches of one
     query. A lost executor's part is computed again from its lineage. Equal plans share one
     cache entry, so repeated calls do not add copies."""
-    return days(w).cache()
+    return w.once("daily series", lambda: days(w).cache())
 
 
 SCALED = ("duration_minutes distance_km distance_miles elevation_gain_m elevation_loss_m "

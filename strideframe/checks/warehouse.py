@@ -8,6 +8,8 @@ tables. Literals such as 3e0 are doubles in both dialects.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strideframe.functions import columns as X
@@ -131,15 +133,17 @@ class Warehouse:
         self.spark, self.sf_dir = spark, sf_dir
         self._frames: dict[str, DataFrame] = {}
 
-    def table(self, name: str) -> DataFrame:
-        if name not in self._frames:  # finding the schema of a file costs a job
-            self._frames[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The DataFrame of this name, built on first use: building a plan has a cost too."""
+        if name not in self._frames:
+            self._frames[name] = build()
         return self._frames[name]
 
+    def table(self, name: str) -> DataFrame:
+        return self.once(name, lambda: self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
+
     def events(self) -> DataFrame:
-        if "mapped events" not in self._frames:
-            self._frames["mapped events"] = self._mapped_events()
-        return self._frames["mapped events"]
+        return self.once("mapped events", self._mapped_events)
 
     def _mapped_events(self) -> DataFrame:
         return self.table("events").select(

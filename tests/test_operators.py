@@ -166,10 +166,10 @@ def test_duplicate_report(spark):
 
 
 def test_label_contains_matches_inside_the_label(spark):
-    words = spark.createDataFrame([("a", "BQ"), ("a", "x"), ("b", "Mesa")], "k string, w string")
-    labels = spark.createDataFrame([("a", "My bq race"), ("a", "Mesa Marathon"), ("b", "Grand MESA run"), ("a", None)], "k string, l string")
+    words = spark.createDataFrame([("a", "QX"), ("a", "x"), ("b", "Dogwood")], "k string, w string")
+    labels = spark.createDataFrame([("a", "My qx race"), ("a", "Dogwood Marathon"), ("b", "Grand DOGWOOD run"), ("a", None)], "k string, l string")
     assert rows(temporal.label_contains(words, labels, ["k"], "w", "l"), "k") == [
-        ("a", "bq", "My bq race"), ("b", "mesa", "Grand MESA run")]
+        ("a", "qx", "My qx race"), ("b", "dogwood", "Grand DOGWOOD run")]
 
 
 CALENDAR = [  # invented names, one athlete
@@ -223,22 +223,22 @@ def master_days(spark, athletes=("a",), n=40):
 
 def test_block_summary_and_override(spark):
     days = master_days(spark, ("a", "b"))
-    events = spark.createDataFrame([("a", day(30), "race", "Mesa Marathon", 195.0, "marathon"),
-                                    ("a", day(2), "race", "mesa again", 300.0, None)],
+    events = spark.createDataFrame([("a", day(30), "race", "Dogwood Marathon", 195.0, "marathon"),
+                                    ("a", day(2), "race", "dogwood again", 300.0, None)],
                                    "athlete_id string, date date, event_type string, label string, official_time_min double, race_type string")
     races = R.evaluate_races(events, days)
-    row = races.where("label = 'Mesa Marathon'").first()
+    row = races.where("label = 'Dogwood Marathon'").first()
     assert row.prediction_date_matched == day(29) and row.relevant_prediction == 192.75
     assert row.prediction_error == -2.25 and row.error_category == "optimistic"
     assert races.where("race_type is null").first().error_category == "neutral"
-    moved = spark.createDataFrame([("a", "Mesa Marathon", day(20))], "athlete_id string, label string, prediction_date date")
-    both = R.evaluate_races(events, days, moved).where("label = 'Mesa Marathon'").first()
+    moved = spark.createDataFrame([("a", "Dogwood Marathon", day(20))], "athlete_id string, label string, prediction_date date")
+    both = R.evaluate_races(events, days, moved).where("label = 'Dogwood Marathon'").first()
     assert both.relevant_prediction == 195.0 and both.prediction_date_matched == day(20)
-    dates = R.evaluate_races(events, days, moved, override_errors=False).where("label = 'Mesa Marathon'").first()
+    dates = R.evaluate_races(events, days, moved, override_errors=False).where("label = 'Dogwood Marathon'").first()
     assert dates.relevant_prediction == 192.75 and dates.prediction_date_matched == day(20)
-    blocks = spark.createDataFrame([("a", "Mesa Marathon", day(10), day(29), 1), ("b", "Mesa Marathon", day(10), day(29), 1)],
+    blocks = spark.createDataFrame([("a", "Dogwood Marathon", day(10), day(29), 1), ("b", "Dogwood Marathon", day(10), day(29), 1)],
                                    "athlete_id string, block_name string, start_date date, end_date date, priority int")
-    late = races.where("label = 'Mesa Marathon'")
+    late = races.where("label = 'Dogwood Marathon'")
     summary = {r.athlete_id: r for r in B.block_summary(B.block_series(days, blocks), blocks, late).collect()}
     a = summary["a"]
     assert (a.race_date, a.prediction_bias, a.stable_date, a.days_stable_before_race) == (day(30), "optimistic", day(21), 9)
@@ -247,4 +247,4 @@ def test_block_summary_and_override(spark):
     b = summary["b"]                       # no race: the athlete with equal dates stays apart
     assert b.race_date is None and b.stable_date is None and b.prediction_bias == "neutral"
     picks = {r.finding: r.block_name for r in O.key_findings(B.block_summary(B.block_series(days, blocks), blocks, late)).where("athlete_id = 'a'").collect()}
-    assert picks["closest_prediction"] == "Mesa Marathon" and len(picks) == 5
+    assert picks["closest_prediction"] == "Dogwood Marathon" and len(picks) == 5
