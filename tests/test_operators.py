@@ -166,7 +166,7 @@ def test_duplicate_report(spark):
 
 
 def test_label_contains_matches_inside_the_label(spark):
-    words = spark.createDataFrame([("a", "QX"), ("a", "x"), ("b", "Dogwood")], "k string, w string")
+    words = spark.createDataFrame([("a", "QX"), ("a", "zz"), ("b", "Dogwood")], "k string, w string")
     labels = spark.createDataFrame([("a", "My qx race"), ("a", "Dogwood Marathon"), ("b", "Grand DOGWOOD run"), ("a", None)], "k string, l string")
     assert rows(temporal.label_contains(words, labels, ["k"], "w", "l"), "k") == [
         ("a", "qx", "My qx race"), ("b", "dogwood", "Grand DOGWOOD run")]
