@@ -16,10 +16,18 @@ SAMPLE_TEXT = 8_192
 DICTIONARY_BYTES = 98_304
 #: Texts are compressed in pieces of so many bytes, so that the dictionary counts for all of a long text.
 PIECE = 8_192
-LEVEL = 3
+LEVEL = 6
 #: A prediction is rejected if the next language needs less than this share of bytes more.
 MARGIN = 0.002
 UNKNOWN = "und"
+#: ASCII characters other than letters say nothing of a language: controls become spaces, the rest goes.
+CONTROLS = bytes.maketrans(bytes(range(32)), b" " * 32)
+SIGNS = bytes(b for b in range(33, 128) if not chr(b).isalpha())
+
+
+def letters_of(text: str) -> bytes:
+    """The text in lower case without digits, ASCII punctuation and control characters."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(CONTROLS, SIGNS)
 
 
 def has_letter(text: Column) -> Column:
@@ -42,7 +50,7 @@ def dictionaries(labelled: DataFrame, salts: int = 64) -> dict[str, bytes]:
     out: dict[str, list[bytes]] = {}
     for row in fit.select("lang", "nth", "text").orderBy("lang", "nth").toLocalIterator():
         taken = out.setdefault(row["lang"], [])
-        text = row["text"].encode()
+        text = letters_of(row["text"])
         if sum(map(len, taken)) + len(text) <= DICTIONARY_BYTES:
             taken.append(text)
     return {lang: b"\n".join(taken) for lang, taken in out.items() if taken}
@@ -59,7 +67,7 @@ def _measure(learned: dict[str, bytes]):
         for texts in series:
             best, margins, scores = [], [], []
             for text in texts:
-                data = text.encode("utf-8", "surrogatepass") if text is not None else b""
+                data = letters_of(text) if text is not None else b""
                 pieces = [data[i:i + PIECE] for i in range(0, len(data), PIECE)]
                 sizes = [sum(len(p.compress(piece)) for piece in pieces) for p in packers]
                 least = min(sizes)
