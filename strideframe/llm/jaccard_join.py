@@ -25,7 +25,8 @@ from pyspark.sql.window import Window
 from strideframe.llm.common import SIMILAR, WORDS_A_SHINGLE, kept_table
 from strideframe.llm.components import components
 
-SKETCH_BITS = 2048
+#: A sketch has the next power of two from twice the set's size on, so that unrelated sets of any size differ in it.
+LEAST_BITS = 256
 #: One set in so many is counted to find frequent shingles; the order changes speed only, never results.
 COUNTED = 16
 FREQUENT = 8
@@ -51,9 +52,14 @@ def _set_id(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+def _bits(n: int) -> int:
+    return max(LEAST_BITS, 1 << (2 * n - 1).bit_length())
+
+
 def _sketch(shingles: np.ndarray) -> bytes:
-    parity = np.bincount((shingles % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(parity.astype(np.uint8)).tobytes()
+    bits = _bits(len(shingles))
+    parity = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
 
 def _profiles(width: int):
@@ -132,24 +138,69 @@ def _frequent_bits(profiles: DataFrame) -> bytes:
     return table.tobytes()
 
 
-def _can_link(n: np.ndarray, sketches: np.ndarray, first: np.ndarray, second: np.ndarray, crossed: bool) -> np.ndarray:
-    """Which members have a partner whose size and sketch allow the similarity."""
+def can_link(members: list[tuple[int, bytes, int]], crossed: bool) -> list[int]:
+    """Places of the members (size, sketch, block) that have a partner whose size and sketch allow the similarity.
+
+    A sketch folds to half its length, so sets on both sides of a power of two compare as well.
+    `crossed` leaves out pairs within a block, which another task sees.
+    """
     low, high = SIMILAR
-    able = np.zeros(len(n), bool)
-    for i in first if crossed else range(len(n)):
-        others = second if crossed else np.arange(i + 1, len(n))
-        if len(others) == 0:
-            continue
-        a, b = n[i], n[others]
-        fits = others[np.minimum(a, b) * high >= np.maximum(a, b) * low]
-        if len(fits) == 0:
-            continue
-        apart = np.bitwise_count(sketches[fits] ^ sketches[i]).sum(axis=1)
-        close = fits[apart.astype(np.int64) * (high + low) <= (n[fits] + a) * (high - low)]
-        if len(close):
-            able[i] = True
-            able[close] = True
-    return able
+    order = sorted(range(len(members)), key=lambda k: members[k][0])
+    whole = [int.from_bytes(members[k][1], "little") for k in order]
+    sizes = [members[k][0] for k in order]
+    blocks = [members[k][2] for k in order]
+    able = [False] * len(order)
+    for i, n in enumerate(sizes):
+        bits, mine, block = _bits(n), whole[i], blocks[i]
+        for j in range(i + 1, len(order)):
+            m = sizes[j]
+            if n * high < m * low:
+                break
+            if crossed and blocks[j] == block or able[i] and able[j]:
+                continue
+            other = whole[j]
+            if _bits(m) != bits:
+                other = (other ^ (other >> bits)) & ((1 << bits) - 1)
+            if (mine ^ other).bit_count() * (high + low) <= (n + m) * (high - low):
+                able[i] = able[j] = True
+    return [k for k, fits in zip(order, able, strict=True) if fits]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]]:
+    """Rows of each run of equal first columns; the input is clustered by them."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[column.to_pylist() for column in batch.columns], strict=True):
+            if held and held[0][:n_keys] != row[:n_keys]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+    for rows in _runs(batches, 3):
+        crossed = rows[0][1] != rows[0][2]
+        out += [rows[k][:3] + (rows[k][4],) for k in can_link([(r[5], r[6], r[3]) for r in rows], crossed)]
+        if len(out) >= 4096:
+            yield _batch(out)
+            out = []
+    yield _batch(out)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
+    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["pivot", "a", "b", "key"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _runs(batches, 3):
+        links = linked_groups([np.frombuffer(r[4], np.uint64) for r in rows])
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([rows[i][3] for i, _ in links], pa.binary()), pa.array([rows[j][3] for _, j in links], pa.binary())], names=["left", "right"])
 
 
 class _Groups:
@@ -260,18 +311,9 @@ def jaccard_classes(docs: DataFrame, width: int = WORDS_A_SHINGLE, block: int =
     cells = sized.select("pivot", "key", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.select("pivot", "key", "mine", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
 
-    def able(frame):
-        n = frame["n"].to_numpy(np.int64)
-        sketches = np.stack([np.frombuffer(s, np.uint64) for s in frame["sketch"]])
-        crossed = bool((frame["a"] != frame["b"]).iloc[0])
-        mine, a = frame["mine"].to_numpy(), int(frame["a"].iloc[0])
-        places = np.arange(len(n))
-        keep = _can_link(n, sketches, places[mine == a], places[mine != a], crossed)
-        return frame.loc[keep, ["pivot", "a", "b", "key"]]
-
-    active = kept_table(
-        cells.join(sets.select("key", "n", "sketch"), "key").select("pivot", "a", "b", "mine", "key", "n", "sketch")
-        .groupBy("pivot", "a", "b").applyInPandas(able, "pivot binary, a int, b int, key binary"), "active")
+    cells = cells.join(sets.select("key", "n", "sketch"), "key").select("pivot", "a", "b", "mine", "key", "n", "sketch")
+    clustered = cells.repartition("pivot", "a", "b").sortWithinPartitions("pivot", "a", "b")
+    active = kept_table(clustered.mapInArrow(_able, "pivot binary, a int, b int, key binary"), "active")
 
     wanted = active.select("key").distinct().join(sets.select("key", "first"), "key").select(F.col("first").alias("doc_id"), "key")
     wanted = kept_table(wanted, "wanted")
@@ -301,14 +343,8 @@ def jaccard_classes(docs: DataFrame, width: int = WORDS_A_SHINGLE, block: int =
     found = texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FREQUENT_BITS)).alias("slot")).mapInArrow(full_sets, "key binary, shingles binary")
     found = kept_table(found.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "found")
 
-    def joined(frame):
-        import pandas as pd
-
-        keys = frame["key"].tolist()
-        links = linked_groups([np.frombuffer(s, np.uint64) for s in frame["shingles"]])
-        return pd.DataFrame({"left": [keys[i] for i, _ in links], "right": [keys[j] for _, j in links]})
-
-    links = active.join(found, "key").groupBy("pivot", "a", "b").applyInPandas(joined, "left binary, right binary").distinct()
+    clustered = active.join(found, "key").select("pivot", "a", "b", "key", "shingles").repartition("pivot", "a", "b").sortWithinPartitions("pivot", "a", "b")
+    links = clustered.mapInArrow(_joined, "left binary, right binary").distinct()
     ids = sets.select(F.col("key").alias("left"), F.col("first").alias("u"))
     edges = links.join(ids, "left").join(ids.select(F.col("left").alias("right"), F.col("u").alias("v")), "right").select("u", "v")
     repeated = profiles.where("n > 0").join(sets.select("key", "first"), "key").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
