@@ -5,8 +5,8 @@ frequent ones last gives every set a prefix; two sets that reach the similarity
 their prefixes. The smallest set of each such shingle is a pivot, and all sets that share one of
 the pivot's shingles form its region, so that every linked pair meets in a region. Regions above
 `block` members are dealt out as pairs of blocks. A parity sketch, whose Hamming distance never
-exceeds the symmetric difference, tells which members can have a partner at all; only their full
-sets are shipped. Within a region the metric-space join proper runs: Voronoi cells around pivots,
+exceeds the symmetric difference, tells which members of a region can be linked at all; only their full
+sets are shipped, once for each group of such members. In a group the metric-space join proper runs: Voronoi cells around pivots,
 windows by the triangle inequality that copy boundary members, and recursion down to small cells.
 Only links that join two so far separate groups leave a task, never all pairs of a group.
 """
@@ -138,32 +138,36 @@ def _frequent_bits(profiles: DataFrame) -> bytes:
     return table.tobytes()
 
 
-def can_link(members: list[tuple[int, bytes, int]], crossed: bool) -> list[int]:
-    """Places of the members (size, sketch, block) that have a partner whose size and sketch allow the similarity.
+def close_groups(members: list[tuple[int, bytes, int]], crossed: bool) -> list[list[int]]:
+    """Places of members (size, sketch, block), grouped by pairs whose size and sketch allow the similarity.
 
     A sketch folds to half its length, so sets on both sides of a power of two compare as well.
-    `crossed` leaves out pairs within a block, which another task sees.
+    `crossed` leaves out pairs within a block, which another task sees. Members without a partner
+    are in no group; linked members are always in one.
     """
     low, high = SIMILAR
     order = sorted(range(len(members)), key=lambda k: members[k][0])
     whole = [int.from_bytes(members[k][1], "little") for k in order]
     sizes = [members[k][0] for k in order]
     blocks = [members[k][2] for k in order]
-    able = [False] * len(order)
+    groups = _Groups(len(order))
     for i, n in enumerate(sizes):
         bits, mine, block = _bits(n), whole[i], blocks[i]
         for j in range(i + 1, len(order)):
             m = sizes[j]
             if n * high < m * low:
                 break
-            if crossed and blocks[j] == block or able[i] and able[j]:
+            if crossed and blocks[j] == block:
                 continue
             other = whole[j]
             if _bits(m) != bits:
                 other = (other ^ (other >> bits)) & ((1 << bits) - 1)
             if (mine ^ other).bit_count() * (high + low) <= (n + m) * (high - low):
-                able[i] = able[j] = True
-    return [k for k, fits in zip(order, able, strict=True) if fits]
+                groups.join(i, j)
+    out: dict[int, list[int]] = {}
+    for k in range(len(order)):
+        out.setdefault(groups.find(k), []).append(order[k])
+    return [g for g in out.values() if len(g) > 1]
 
 
 def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]]:
@@ -179,28 +183,20 @@ def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple
         yield held
 
 
-def _able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out: list[tuple] = []
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of close members, named by their members, so that a group met in many regions is one."""
     for rows in _runs(batches, 3):
-        crossed = rows[0][1] != rows[0][2]
-        out += [rows[k][:3] + (rows[k][4],) for k in can_link([(r[5], r[6], r[3]) for r in rows], crossed)]
-        if len(out) >= 4096:
-            yield _batch(out)
-            out = []
-    yield _batch(out)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["pivot", "a", "b", "key"])
+        for group in close_groups([(r[5], r[6], r[3]) for r in rows], rows[0][1] != rows[0][2]):
+            keys = sorted(rows[k][4] for k in group)
+            name = xxhash.xxh3_128_digest(b"".join(keys))
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.binary()), pa.array(keys, pa.binary())], names=["group", "key"])
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _runs(batches, 3):
-        links = linked_groups([np.frombuffer(r[4], np.uint64) for r in rows])
+    for rows in _runs(batches, 1):
+        links = linked_groups([np.frombuffer(r[2], np.uint64) for r in rows])
         if links:
-            yield pa.RecordBatch.from_arrays([pa.array([rows[i][3] for i, _ in links], pa.binary()), pa.array([rows[j][3] for _, j in links], pa.binary())], names=["left", "right"])
+            yield pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i, _ in links], pa.binary()), pa.array([rows[j][1] for _, j in links], pa.binary())], names=["left", "right"])
 
 
 class _Groups:
@@ -306,14 +302,15 @@ def jaccard_classes(docs: DataFrame, width: int = WORDS_A_SHINGLE, block: int =
     pivots = reach.select("pivot").distinct().select("pivot", F.col("pivot").alias("key"))
     members = reach.unionByName(pivots)
 
-    sized = members.join(members.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "pivot")
+    blocks = kept_table(members.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks")
+    sized = members.join(blocks, "pivot")
     mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     cells = sized.select("pivot", "key", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.select("pivot", "key", "mine", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
 
     cells = cells.join(sets.select("key", "n", "sketch"), "key").select("pivot", "a", "b", "mine", "key", "n", "sketch")
     clustered = cells.repartition("pivot", "a", "b").sortWithinPartitions("pivot", "a", "b")
-    active = kept_table(clustered.mapInArrow(_able, "pivot binary, a int, b int, key binary"), "active")
+    active = kept_table(clustered.mapInArrow(_close, "group binary, key binary").distinct(), "active")
 
     wanted = active.select("key").distinct().join(sets.select("key", "first"), "key").select(F.col("first").alias("doc_id"), "key")
     wanted = kept_table(wanted, "wanted")
@@ -343,7 +340,7 @@ def jaccard_classes(docs: DataFrame, width: int = WORDS_A_SHINGLE, block: int =
     found = texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FREQUENT_BITS)).alias("slot")).mapInArrow(full_sets, "key binary, shingles binary")
     found = kept_table(found.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "found")
 
-    clustered = active.join(found, "key").select("pivot", "a", "b", "key", "shingles").repartition("pivot", "a", "b").sortWithinPartitions("pivot", "a", "b")
+    clustered = active.join(found, "key").select("group", "key", "shingles").repartition("group").sortWithinPartitions("group")
     links = clustered.mapInArrow(_joined, "left binary, right binary").distinct()
     ids = sets.select(F.col("key").alias("left"), F.col("first").alias("u"))
     edges = links.join(ids, "left").join(ids.select(F.col("left").alias("right"), F.col("u").alias("v")), "right").select("u", "v")
