@@ -77,7 +77,7 @@ def block_plan(sizes: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame
     """`sizes` (doc_id, source, size, ...) with the place of each row in its shard and the shard's quota."""
     sources = source_targets(sizes)
     sources = sources.withColumn("seats", F.round(F.sum("source_size").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / block))
-    sources = kept_table(apportioned(sources.withColumn("all", F.lit(1)), ["all"], "place", "target", "seats").drop("all", "seats").withColumnRenamed("quota", "source_quota"), "sources")
+    sources = kept_table(apportioned(sources.withColumn("all", F.least("place", F.lit(0))), ["all"], "place", "target", "seats").drop("all", "seats").withColumnRenamed("quota", "source_quota"), "sources")
     shard_words = F.greatest(F.lit(SHARD_WORDS), F.ceil(F.col("source_size") / MOST_SHARDS))
     placed = (sizes.join(sources.withColumnRenamed("source", "of_source"), F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
               .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("int")))
