@@ -29,7 +29,7 @@ def _chunks(keyed: DataFrame) -> DataFrame:
     """(doc, mark, start, n, chunk) of the runs of repeated lines; hashes only, no texts."""
     hashed = F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x))
     lines = kept_table(keyed.where("text is not null").select("doc", "mark", F.posexplode(hashed).alias("at", "line")), "lines")
-    repeated = lines.groupBy("line").agg(F.count("*").alias("times")).where("times > 1")
+    repeated = kept_table(lines.groupBy("line").agg(F.count("*").alias("times")).where("times > 1"), "repeated")
     runs = lines.join(repeated, "line").groupBy("doc", "mark").agg(F.array_sort(F.collect_set(F.struct("at", "line", "times"))).alias("run"))
     before = lambda i: F.get("run", i - 1)
 
@@ -62,7 +62,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     chunks = kept_table(_chunks(keyed), "chunks")
     again = chunks.groupBy("chunk").agg(F.count("*").alias("times")).where("times > 1").select("chunk")
     found = chunks.join(again, "chunk").groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n", "chunk")).alias("found"))
-    texts = keyed.where("text is not null").join(found, ["doc", "mark"])
+    texts = keyed.where("text is not null").hint("merge").join(found, ["doc", "mark"])  # never broadcast: what is found grows with the input
     pieces = texts.select("doc", "mark", F.split("text", "\n").alias("lines"), F.explode("found").alias("f"))
     piece = F.slice("lines", F.col("f.start") + 1, F.col("f.n"))
     pieces = kept_table(pieces.select("doc", "mark", "f.*", F.array_join(piece, "\n").alias("piece"), F.size(F.filter(piece, lambda x: F.btrim(x, F.lit(SPACES)) != "")).alias("filled"))
@@ -82,7 +82,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     text = F.col("row.text").cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
         "row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("mark"))
-    rows = rows.join(ranges, ["doc", "mark"], "left")
+    rows = rows.hint("merge").join(ranges, ["doc", "mark"], "left")
     kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.exists("ranges", lambda r: (i >= r["start"]) & (i < r["start"] + r["n"])))
     return rows.select(
         *[F.when(F.col("ranges").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n")).alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns],
