@@ -37,7 +37,7 @@ def with_fingerprint(frame: DataFrame, text: str, into: str, width: int = WORDS_
     nothing = F.lit(None).cast("long")
     gap = lambda x, i: place(x) - F.when(i == 0, -1).otherwise(place(F.get(a, i - 1))) - 1
     filled = F.flatten(F.transform(a, lambda x, i: F.concat(F.array_repeat(nothing, gap(x, i)), F.array(x))))
-    frame = frame.withColumn(f"{into}_b", F.concat(filled, F.array_repeat(nothing, BINS - 1 - F.coalesce(place(F.element_at(a, -1)), F.lit(-1)))))
+    frame = frame.withColumn(f"{into}_b", F.concat(filled, F.array_repeat(nothing, BINS - 1 - F.coalesce(place(F.get(a, F.size(a) - 1)), F.lit(-1)))))
     b = f"{into}_b"
 
     def borrowed(x: Column, j: Column) -> Column:

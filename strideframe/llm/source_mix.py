@@ -20,6 +20,8 @@ BLOCK = 16
 SHARD_WORDS = 1 << 18
 #: Shards of a source at most; a shard then holds more words, of which only ids and sizes are sorted.
 MOST_SHARDS = 1 << 16
+#: Quotients this close to each other count as equal.
+TIE = 1e-12
 #: Primes above any number of blocks in a shard, multipliers of the seeded permutations.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
 
@@ -65,6 +67,7 @@ def apportioned(frame: DataFrame, group: list[str], item: str, votes: str, seats
     first = F.struct((F.col("total") / (F.col("n_seats") + F.size("all_votes") + 1)).alias("low"), (F.col("total") * 4 + 1).alias("high"))
     edges = (listed.withColumn("total", total)
              .withColumn("edge", F.when((F.col("total") > 0) & (F.col("n_seats") > 0), F.aggregate(F.sequence(F.lit(1), F.lit(90)), first, halved)))
+             .withColumn("edge", F.struct((F.col("edge.low") * (1 - TIE)).alias("low"), (F.col("edge.high") * (1 + TIE)).alias("high")))
              .withColumn("left_over", F.col("n_seats") - given(F.col("edge.high"), F.col("all_votes"))).select(*group, "edge", "left_over"))
     sure, most = F.floor(F.col(votes) / F.col("edge.high") + 0.5), F.floor(F.col(votes) / F.col("edge.low") + 0.5)
     with_edges = frame.join(edges, group).withColumn("sure", sure).withColumn("on_edge", most > sure)
