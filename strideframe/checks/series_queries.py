@@ -245,6 +245,9 @@ register("j12_prediction_date_override",
 register("a17_value_counts",
          lambda w: stats.most_frequent(stats.value_counts(w.family("readiness"), "level"), "level"),
          "SELECT level, count(*) AS n FROM raw_readiness WHERE level IS NOT NULL GROUP BY level")
+register("a17_value_counts_customers",
+         lambda w: stats.most_frequent(stats.value_counts(w.table("orders"), "o_custkey"), "o_custkey"),
+         "SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey")
 register("a18_error_by_race_type",
          lambda w: R.error_by_race_type(R.evaluate_races(w.calendar(), days(w))),
          "SELECT race_type, avg(prediction_error) AS mean, stddev_samp(prediction_error) AS std, "
@@ -364,7 +367,10 @@ register("k05_head",
 register("k05_tail",
          lambda w: stats.tail(w.table("orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], 20),
          "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 20", "o_totalprice")
-register("k06_random_sample", lambda w: stats.sample_rows(w.family("maxmet").drop("calendarDate"), 5, 42))
+register("k06_random_sample",
+         lambda w: stats.sample_rows(w.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus"), 500, 42, "o_orderkey"),
+         "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders "
+         "ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 500")
 register("k07_first_and_last_time",
          lambda w: stats.extremes(w.events().select("user_id", "date"), "date", ["user_id"]),
          "SELECT user_id, min(date) AS first, max(date) AS last FROM ev GROUP BY 1")

@@ -19,8 +19,9 @@ def value_counts(df: DataFrame, column: str, keys: Sequence[str] = (), out: str
             .groupBy(*keys, column).agg(F.count(F.lit(1)).alias(out)))
 
 
-def most_frequent(counts: DataFrame, column: str, n: int = 20, out: str = "n") -> DataFrame:
-    return counts.orderBy(F.col(out).desc(), F.col(column)).limit(n)
+def most_frequent(counts: DataFrame, column: str, out: str = "n") -> DataFrame:
+    """All counts, the highest first; a caller who wants a few takes the head."""
+    return counts.orderBy(F.col(out).desc(), F.col(column))
 
 
 def spread(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -234,9 +235,12 @@ def tail(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     return df.orderBy(*[F.col(c).desc_nulls_last() for c in order]).limit(n)
 
 
-def sample_rows(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """n random rows. Each task keeps its own n smallest draws before they are merged."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def sample_rows(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
+    """n rows in the order of a digest of seed and key, which no partitioning changes.
+
+    Each task keeps its own n smallest digests before they are merged.
+    """
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 def extremes(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:

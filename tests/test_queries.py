@@ -32,7 +32,7 @@ def test_query_agrees_with_its_sql(spark, con, name):
 
 
 def test_every_relational_query_has_checking_sql():
-    assert set(registered.queries()) - set(registered.oracle_sql()) == {"k06_random_sample"}
+    assert {n for n in set(registered.queries()) - set(registered.oracle_sql()) if not n.startswith(("op", "pipeline"))} == set()
 
 
 def test_entry_has_rows(spark):
