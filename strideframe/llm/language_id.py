@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strideframe.llm.common import kept_table
+
 #: Bounds of the fitted sample: rows a language, bytes of text a row, bytes of dictionary a language.
 SAMPLE_ROWS = 96
 SAMPLE_TEXT = 8_192
@@ -39,14 +41,17 @@ def dictionaries(labelled: DataFrame, salts: int = 64) -> dict[str, bytes]:
 
     The sample is bounded: of each language, SAMPLE_ROWS texts of at most SAMPLE_TEXT characters in
     the order of a hash of the id, until DICTIONARY_BYTES are full. Rows whose language is null,
-    or whose text is null or without letters, teach nothing. Ranks are taken within salts first, so
-    that no task gathers a whole language.
+    or whose text is null or without letters, teach nothing; repeated rows teach once. Only ranks
+    are shuffled, within salts first, so that no task gathers a whole language; then the texts of
+    the chosen ranks are fetched by a join with that small written table.
     """
     fit = labelled.where(F.col("lang").isNotNull() & has_letter(F.col("text")) & (F.length("text") <= SAMPLE_TEXT))
-    fit = fit.withColumn("rank", F.xxhash64(F.col("doc_id").cast("string"), "text")).withColumn("salt", F.pmod("rank", F.lit(salts)))
-    for keys in (["lang", "salt"], ["lang"]):
-        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("rank", "text"))
-        fit = fit.withColumn("nth", nth).where(F.col("nth") <= SAMPLE_ROWS)
+    fit = fit.select("lang", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("rank"), "text")
+    least = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("rank"))
+    ranks = fit.select("lang", "rank", F.pmod("rank", F.lit(salts)).alias("salt"))
+    ranks = ranks.withColumn("nth", least("lang", "salt")).where(F.col("nth") <= SAMPLE_ROWS).select("lang", "rank").distinct()
+    chosen = kept_table(ranks.withColumn("nth", least("lang")).where(F.col("nth") <= SAMPLE_ROWS), "sample")
+    fit = fit.join(chosen, ["lang", "rank"]).groupBy("lang", "nth").agg(F.min("text").alias("text"))
     out: dict[str, list[bytes]] = {}
     for row in fit.select("lang", "nth", "text").orderBy("lang", "nth").toLocalIterator():
         taken = out.setdefault(row["lang"], [])
