@@ -37,6 +37,11 @@ def summary(w: Warehouse) -> DataFrame:
     return B.block_summary(kept_series(w), w.blocks(), races)
 
 
+def raced_blocks(w: Warehouse) -> DataFrame:
+    """The blocks with their races alone, for plans that need no figures of the series."""
+    return B.block_races(w.blocks(), R.evaluate_races(w.calendar(), kept_days(w)))
+
+
 def bests(w: Warehouse) -> DataFrame:
     return R.personal_best_table(w.calendar(), runs(w))
 
@@ -198,14 +203,12 @@ def _or_missing(text: str) -> str:
 
 
 register("x22_race_reports", lambda w: B.race_reports(summary(w)),
-         "SELECT athlete_id, block_name, CASE prediction_bias WHEN 'conservative' THEN 'The watch was conservative by ' || "
-         f"{fixed('abs(prediction_error)')} || ' minutes, predicting a slower race than the official result.' "
-         f"WHEN 'optimistic' THEN 'The watch was optimistic by ' || {fixed('abs(prediction_error)')} || "
-         "' minutes, predicting a faster race than the official result.' ELSE 'The watch landed very close to the official result.' END "
-         f"|| ' The estimate stabilized ' || {_or_missing('CAST(days_stable_before_race AS VARCHAR)')} || ' days before race day, while the block peaked at ' "
-         f"|| {distance('peak_weekly_mileage')} || ' and averaged ' || {distance('avg_weekly_mileage')} || ' per week. VO2 drift was ' || "
-         f"{_or_missing(signed('vo2_drift'))} || ', average readiness was ' || {_or_missing(fixed('avg_readiness'))} || "
-         f"', and average HRV was ' || {_or_missing(fixed('avg_hrv'))} || '.' AS report FROM summary")
+         f"SELECT athlete_id, block_name, concat_ws(' | ', 'Volume: ' || {distance('avg_weekly_mileage')} || ' a week, ' || "
+         f"{distance('peak_weekly_mileage')} || ' at most', 'Readiness: ' || {_or_missing(fixed('avg_readiness'))}, "
+         f"'HRV: ' || {_or_missing(fixed('avg_hrv'))}, 'VO2 change: ' || {_or_missing(signed('vo2_drift'))}, "
+         f"'Forecast of the watch: ' || CASE prediction_bias WHEN 'conservative' THEN {fixed('abs(prediction_error)')} || ' min too slow' "
+         f"WHEN 'optimistic' THEN {fixed('abs(prediction_error)')} || ' min too fast' ELSE 'on target' END, "
+         f"'Days settled: ' || {_or_missing('CAST(days_stable_before_race AS VARCHAR)')}) AS report FROM summary")
 
 # --- overview -------------------------------------------------------------------------
 
@@ -214,7 +217,7 @@ register("q01_monthly_volume", lambda w: O.monthly_volume(runs(w), "km"),
          f"SELECT athlete_id, p AS month_end, v AS distance_miles, v * 1.609344 AS distance FROM ({MONTHS})",
          "distance_miles distance")
 WEEKS = filled("days", "athlete_id", week_end("date"), "total_distance_miles")
-register("q02_timeline", lambda w: O.timeline(kept_days(w), summary(w)),
+register("q02_timeline", lambda w: O.timeline(kept_days(w), raced_blocks(w)),
          f"SELECT athlete_id, 'weekly_distance' AS series, p AS date, v AS value, NULL AS label FROM ({WEEKS}) UNION ALL "
          "SELECT athlete_id, 'vo2_max', date, vo2MaxValue, NULL FROM days UNION ALL "
          'SELECT athlete_id, \'marathon_prediction\', date, "Marathon_pred", NULL FROM days WHERE "Marathon_pred" IS NOT NULL UNION ALL '
@@ -227,7 +230,7 @@ register("q17_a22_overview_totals", lambda w: O.overview_totals(runs(w), summary
 register("q17_block_snapshot", lambda w: O.block_snapshot(summary(w)),
          f"SELECT athlete_id, replace(block_name, ' Marathon', '') AS block, race_date, {clock('actual_time')} AS time_label, "
          f"{signed('prediction_error')} || ' min' AS error_label FROM summary")
-register("q23_race_markers", lambda w: O.race_markers(summary(w)),
+register("q23_race_markers", lambda w: O.race_markers(raced_blocks(w)),
          f"SELECT athlete_id, replace(block_name, ' Marathon', '') AS block, race_date, {day_label('race_date')} AS date_label, "
          f"{clock('actual_time')} AS time_label FROM summary")
 

@@ -17,7 +17,7 @@ from strideframe.functions import columns as X
 _ZONES = {**{f"hrTimeInZone_{i}": f"value * {i}e3" for i in range(1, 7)},
           **{f"powerTimeInZone_{i}": f"k * {i}e3" for i in range(1, 6)}}
 
-# family -> (event types, {column: SQL text})
+# family -> (event types that have measures, {column: SQL text}); other events give rows of NULL measures
 FAMILIES: dict[str, tuple[str, dict[str, str]]] = {
     "activities": ("", {
         "activityId": "event_id",
@@ -100,23 +100,31 @@ FAMILIES: dict[str, tuple[str, dict[str, str]]] = {
 }
 SOURCE_FILE = "'part_' || CAST(k % 3 AS STRING)"
 
-_RACE_TYPE = ("CASE WHEN k % 24 IN (0, 4) THEN 'marathon' WHEN k % 24 = 8 THEN 'half' "
-              "WHEN k % 24 = 12 THEN '10k' WHEN k % 24 = 16 THEN '5k' END")
+_RACE_TYPE = ("CASE WHEN k % 24 < 8 THEN 'marathon' WHEN k % 24 < 12 THEN 'half' "
+              "WHEN k % 24 < 16 THEN '10k' WHEN k % 24 < 20 THEN '5k' END")
 CALENDAR = {
     "event_type": "CASE WHEN event_type = 'purchase' THEN 'race' "
                   "WHEN event_type = 'signup' THEN 'training_block_start' ELSE 'rest' END",
     "label": "CASE WHEN event_type = 'error' THEN 'Rest' ELSE "
-             "(CASE (k + 4 * user_id) % 16 WHEN 0 THEN 'Alder' WHEN 4 THEN 'Birch' "
-             "WHEN 8 THEN 'Cedar' ELSE 'Dogwood' END) || "
+             "(CASE WHEN (k + 4 * user_id) % 16 < 4 THEN 'Alder' WHEN (k + 4 * user_id) % 16 < 8 THEN 'Birch' "
+             "WHEN (k + 4 * user_id) % 16 < 12 THEN 'Cedar' ELSE 'Dogwood' END) || "
              "(CASE WHEN event_type = 'purchase' THEN ' Marathon' ELSE ' Build' END) END",
     "official_time_min": "CASE WHEN event_type <> 'purchase' OR (user_id + k) % 7 = 0 THEN NULL "
-                         "WHEN k % 24 IN (0, 4) THEN 190e0 + value / 23e0 "
-                         "WHEN k % 24 = 8 THEN 91e0 + value / 53e0 "
-                         "WHEN k % 24 = 12 THEN 41e0 + value / 53e0 "
-                         "WHEN k % 24 = 16 THEN 20e0 + value / 97e0 ELSE 60e0 + value END",
+                         "WHEN k % 24 < 8 THEN 190e0 + value / 23e0 "
+                         "WHEN k % 24 < 12 THEN 91e0 + value / 53e0 "
+                         "WHEN k % 24 < 16 THEN 41e0 + value / 53e0 "
+                         "WHEN k % 24 < 20 THEN 20e0 + value / 97e0 ELSE 60e0 + value END",
     "race_type": f"CASE WHEN event_type = 'purchase' THEN {_RACE_TYPE} END",
 }
-CALENDAR_ROWS = "k % 4 = 0 AND event_type IN ('purchase', 'signup', 'error')"
+# a calendar holds the events that are entries of one; clicks and views are none
+CALENDAR_ROWS = "event_type IN ('purchase', 'signup', 'error')"
+
+
+
+def _measures(name: str) -> dict[str, str]:
+    kinds, columns = FAMILIES[name]
+    return {c: f"CASE WHEN event_type IN ({kinds}) THEN {sql} END" for c, sql in columns.items()} if kinds else columns
+
 
 # (name, first day, last day, priority); neighbouring blocks overlap.
 BLOCKS = (
@@ -153,10 +161,7 @@ class Warehouse:
 
     def family(self, name: str) -> DataFrame:
         """Raw rows of one family, as the readers deliver them."""
-        kinds, columns = FAMILIES[name]
-        rows = self.events()
-        if kinds:
-            rows = rows.where(f"event_type IN ({kinds})")
+        rows, columns = self.events(), _measures(name)
         day = F.datediff("date", F.lit("1970-01-01").cast("date")) * F.lit(86_400_000).cast("bigint")
         millis = (day + F.hour("ts") * 3_600_000 + F.minute("ts") * 60_000
                   + F.floor(F.date_part(F.lit("SECOND"), "ts") * 1000))
@@ -195,10 +200,7 @@ def _columns(columns: dict[str, str]) -> str:
 
 
 def _family_sql(name: str) -> str:
-    kinds, columns = FAMILIES[name]
-    where = f" WHERE event_type IN ({kinds})" if kinds else ""
-    return (f"SELECT athlete_id, {SOURCE_FILE} AS source_file, ts, date, {_columns(columns)} "
-            f"FROM ev{where}")
+    return f"SELECT athlete_id, {SOURCE_FILE} AS source_file, ts, date, {_columns(_measures(name))} FROM ev"
 
 
 BASE_CTES = {

@@ -222,27 +222,23 @@ def to_json_or_null(value: ColumnOrName, kind: str) -> Column:
     return F.when(F.size(value) > 0, F.to_json(value))
 
 
-def race_report(unit: str = "mi", device: str = "The watch") -> Column:
-    """One paragraph on a block, from the columns of the block summary."""
-    error = fixed_text(F.abs("prediction_error"))
-    opening = (
-        F.when(F.col("prediction_bias") == "conservative", F.concat(
-            F.lit(f"{device} was conservative by "), error,
-            F.lit(" minutes, predicting a slower race than the official result.")))
-        .when(F.col("prediction_bias") == "optimistic", F.concat(
-            F.lit(f"{device} was optimistic by "), error,
-            F.lit(" minutes, predicting a faster race than the official result.")))
-        .otherwise(f"{device} landed very close to the official result."))
+def race_report(unit: str = "mi", device: str = "the watch") -> Column:
+    """The figures of one block as a line of labelled parts, from the columns of the block summary."""
     missing = F.lit("N/A")
-    return F.concat(
-        opening, F.lit(" The estimate stabilized "),
-        F.coalesce(F.col("days_stable_before_race").cast("string"), missing),
-        F.lit(" days before race day, while the block peaked at "),
-        distance_label("peak_weekly_mileage", unit), F.lit(" and averaged "),
-        distance_label("avg_weekly_mileage", unit), F.lit(" per week. VO2 drift was "),
-        F.coalesce(signed_text("vo2_drift"), missing), F.lit(", average readiness was "),
-        F.coalesce(fixed_text("avg_readiness"), missing), F.lit(", and average HRV was "),
-        F.coalesce(fixed_text("avg_hrv"), missing), F.lit("."))
+    error = fixed_text(F.abs("prediction_error"))
+    forecast = (F.when(F.col("prediction_bias") == "conservative", F.concat(error, F.lit(" min too slow")))
+                .when(F.col("prediction_bias") == "optimistic", F.concat(error, F.lit(" min too fast")))
+                .otherwise(F.lit("on target")))
+    parts = {
+        "Volume": F.concat(distance_label("avg_weekly_mileage", unit), F.lit(" a week, "),
+                           distance_label("peak_weekly_mileage", unit), F.lit(" at most")),
+        "Readiness": F.coalesce(fixed_text("avg_readiness"), missing),
+        "HRV": F.coalesce(fixed_text("avg_hrv"), missing),
+        "VO2 change": F.coalesce(signed_text("vo2_drift"), missing),
+        f"Forecast of {device}": forecast,
+        "Days settled": F.coalesce(F.col("days_stable_before_race").cast("string"), missing),
+    }
+    return F.concat_ws(" | ", *[F.concat(F.lit(f"{label}: "), text) for label, text in parts.items()])
 
 
 # --- map columns ----------------------------------------------------------------------

@@ -196,5 +196,5 @@ def block_headline(summary: DataFrame, unit: str = "mi") -> DataFrame:
         X.fixed_text("avg_hrv").alias("hrv_label"))
 
 
-def race_reports(summary: DataFrame, unit: str = "mi", device: str = "The watch") -> DataFrame:
+def race_reports(summary: DataFrame, unit: str = "mi", device: str = "the watch") -> DataFrame:
     return summary.select(*BLOCK, X.race_report(unit, device).alias("report"))

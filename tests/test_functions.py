@@ -95,6 +95,5 @@ def test_race_report_text(spark):
            "peak_weekly_mileage double, avg_weekly_mileage double, vo2_drift double, avg_readiness double, avg_hrv double")
     got = values(spark, ddl, [(-4.25, "optimistic", 12, 70.04, 50.25, -1.25, 61.0, None)], X.race_report("mi", "The watch"))
     assert got[0][0] == (
-        "The watch was optimistic by 4.2 minutes, predicting a faster race than the official result. "
-        "The estimate stabilized 12 days before race day, while the block peaked at 70.0 mi and averaged 50.2 mi "
-        "per week. VO2 drift was -1.2, average readiness was 61.0, and average HRV was N/A.")
+        "Volume: 50.2 mi a week, 70.0 mi at most | Readiness: 61.0 | HRV: N/A | VO2 change: -1.2 | "
+        "Forecast of The watch: 4.2 min too fast | Days settled: 12")
