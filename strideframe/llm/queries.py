@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.llm import (
-    decision_list, fingerprints, jaccard_join, language_id, line_chunks, pii_bootstrap, piece_table,
+    decision_list, fingerprints, jaccard_join, language_id, line_chunks, merkle_manifest, pii_bootstrap, piece_table,
     source_mix, token_rollup, url_aliases)
-from strideframe.llm.common import documents, kept_table, n_words, shared_folder
+from strideframe.llm.common import documents, kept_table, low_ascii, n_words, shared_folder
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -102,6 +102,18 @@ def op10_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_table.encoded(documents(spark, sf_dir), PIECE_MODEL)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of `documents` by lang; rows whose crc32(doc_id) 3 divides are checked with text's A-Z lower-cased."""
+    built = merkle_manifest.manifest(documents(spark, sf_dir))
+    row = F.col("row")
+    touched = F.pmod(F.crc32(row["doc_id"].cast("string").cast("binary")), F.lit(3)) == 0
+    text = F.when(touched, low_ascii(row["text"])).otherwise(row["text"])
+    tampered = merkle_manifest.leaf_digest([row["doc_id"], row["source"], row["lang"], row["n_chars"], text])
+    refolded = merkle_manifest.folded(tampered, F.col("path"))
+    return built.select(row["doc_id"].alias("doc_id"), "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256"),
+                        refolded.alias("folded_root"), (refolded == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_source_mix": op2_source_mix,
@@ -113,5 +125,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_rollup": op8_token_rollup,
     "op9_pii_bootstrap": op9_pii_bootstrap,
     "op10_piece_table": op10_piece_table,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 SQL: dict[str, str] = {"op8_token_rollup": OP8_SQL}
