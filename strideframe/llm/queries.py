@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.llm import (
-    decision_list, fingerprints, jaccard_join, language_id, line_chunks, merkle_manifest, pii_bootstrap, piece_table,
+    decision_list, fingerprints, jaccard_join, language_id, line_chunks, merkle_manifest, periodic_runs, pii_bootstrap, piece_table,
     source_mix, token_rollup, url_aliases)
 from strideframe.llm.common import documents, kept_table, low_ascii, n_words, shared_folder
 
@@ -102,6 +102,12 @@ def op10_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_table.encoded(documents(spark, sf_dir), PIECE_MODEL)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of every document, after the contract's rewrite of the rows that crc32 picks."""
+    found = periodic_runs.periodic_runs(documents(spark, sf_dir).select("doc_id", "text"), rewrite=True)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256", "n_words")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest of `documents` by lang; rows whose crc32(doc_id) 3 divides are checked with text's A-Z lower-cased."""
     built = merkle_manifest.manifest(documents(spark, sf_dir))
@@ -125,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_rollup": op8_token_rollup,
     "op9_pii_bootstrap": op9_pii_bootstrap,
     "op10_piece_table": op10_piece_table,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 SQL: dict[str, str] = {"op8_token_rollup": OP8_SQL}
