@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideframe.llm.common import kept_table
+
 #: The fields of a leaf and their order, and the children a parent takes.
 LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 FANOUT = 8
@@ -67,8 +69,8 @@ def tree(nodes: DataFrame, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
         if span >= largest:
             break
         slot = F.col("pos") % fanout
-        parents = current.where(F.col("size") > span).groupBy("g", (F.col("pos") / fanout).cast("long").alias("pos"), "size").agg(
-            *[F.max(F.when(slot == k, F.col("h"))).alias(f"c{k}") for k in range(fanout)])
+        parents = kept_table(current.where(F.col("size") > span).groupBy("g", (F.col("pos") / fanout).cast("long").alias("pos"), "size").agg(
+            *[F.max(F.when(slot == k, F.col("h"))).alias(f"c{k}") for k in range(fanout)]), "merkle-level")
         slots = [F.col(f"c{k}") for k in range(fanout)]
         # the pivot read back per slot: the child and what stands left and right of it
         spread = F.array(*[F.struct(F.lit(k).alias("slot"), slots[k].alias("h"), F.concat_ws("", *slots[:k]).alias("left"),
@@ -86,6 +88,7 @@ def tree(nodes: DataFrame, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
             up = above.select(F.col("g").alias("_ug"), F.col("pos").alias("_up"), F.col("path").alias("_upath"))
             joined = level.join(up, (level["g"] == up["_ug"]) & (level["up"] == up["_up"]), "left")
             above = joined.select("g", "pos", F.concat(step, F.coalesce("_upath", F.array().cast(EMPTY_PATH))).alias("path"))
+        above = kept_table(above, "merkle-path")
     top = tops[0]
     for more in tops[1:]:
         top = top.unionByName(more)
@@ -95,25 +98,28 @@ def tree(nodes: DataFrame, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
 
 
 def manifest(docs: DataFrame, group: str = "lang", order: str = "doc_id", fields: Sequence[str] = LEAF_FIELDS,
-             fanout: int = FANOUT) -> DataFrame:
+             fanout: int = FANOUT, carry: Sequence[str] | None = None) -> DataFrame:
     """Leaf, subroot, root and sibling path of every row of `docs`.
 
     Leaves of a group (null is a group) ascend by `order` (nulls first; equal keys by leaf, then as
     read; repeated rows have equal leaves, so the digests do not depend on that choice). Subroots,
     ordered by group (null first, then UTF-8 bytewise), make the root likewise. Returns `row`
-    (all input columns, so any names may clash with ours), `leaf`, `subroot`, `root` and `path`
-    (levels from the bottom, through the subroot up to the root). An empty table gives no rows.
+    (the `carry` columns, all by default, so any names may clash with ours), `leaf`, `subroot`,
+    `root` and `path` (levels from the bottom, through the subroot up to the root). An empty
+    table gives no rows. Every level is written to the shared folder, which keeps plans small.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    carry = list(docs.columns if carry is None else carry)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
                        F.col(f"`{group}`").alias("_grp"), F.col(f"`{order}`").alias("_ord"),
                        leaf_digest([F.col(f"`{c}`") for c in fields]).alias("leaf"))
     kinds = numbered(rows.select("_grp").distinct().withColumn("_one", F.lit(0)), "_one", [F.col("_grp").asc_nulls_first()])
-    kinds = kinds.select("_grp", F.col("_pos").alias("g"), F.col("_size").alias("n_groups"))
+    kinds = kept_table(kinds.select("_grp", F.col("_pos").alias("g"), F.col("_size").alias("n_groups")), "merkle-groups")
     placed = numbered(rows, "_grp", [F.col("_ord").asc_nulls_first(), F.col("leaf")])
-    placed = placed.join(kinds, placed["_grp"].eqNullSafe(kinds["_grp"])).select(
-        "row", "leaf", "g", F.col("_pos").alias("pos"), F.col("_size").alias("size"))
+    placed = kept_table(placed.join(kinds, placed["_grp"].eqNullSafe(kinds["_grp"])).select(
+        "row", "leaf", "g", F.col("_pos").alias("pos"), F.col("_size").alias("size")), "merkle-leaves")
     sub_tops, leaf_paths = tree(placed.select("g", "pos", F.col("leaf").alias("h"), "size"), fanout)
-    subroots = sub_tops.join(kinds, "g").select(F.lit(0).cast("long").alias("g"), F.col("g").alias("pos"), F.col("top").alias("h"), F.col("n_groups").alias("size"))
+    subroots = kept_table(sub_tops.join(kinds, "g").select(
+        F.lit(0).cast("long").alias("g"), F.col("g").alias("pos"), F.col("top").alias("h"), F.col("n_groups").alias("size")), "merkle-subroots")
     root_tops, sub_paths = tree(subroots, fanout)
     per_group = subroots.join(sub_paths, ["g", "pos"], "left").select(
         F.col("pos").alias("g"), F.col("h").alias("subroot"), F.coalesce("path", F.array().cast(EMPTY_PATH)).alias("upper"))

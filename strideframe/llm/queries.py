@@ -110,13 +110,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest of `documents` by lang; rows whose crc32(doc_id) 3 divides are checked with text's A-Z lower-cased."""
-    built = merkle_manifest.manifest(documents(spark, sf_dir))
-    row = F.col("row")
-    touched = F.pmod(F.crc32(row["doc_id"].cast("string").cast("binary")), F.lit(3)) == 0
-    text = F.when(touched, low_ascii(row["text"])).otherwise(row["text"])
-    tampered = merkle_manifest.leaf_digest([row["doc_id"], row["source"], row["lang"], row["n_chars"], text])
-    refolded = merkle_manifest.folded(tampered, F.col("path"))
-    return built.select(row["doc_id"].alias("doc_id"), "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256"),
+    docs = documents(spark, sf_dir)
+    touched = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
+    text = F.when(touched, low_ascii(F.col("text"))).otherwise(F.col("text"))
+    tampered = merkle_manifest.leaf_digest([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text])
+    built = merkle_manifest.manifest(docs.withColumn("_tampered", tampered), carry=["doc_id", "_tampered"])
+    refolded = merkle_manifest.folded(F.col("row._tampered"), F.col("path"))
+    return built.select(F.col("row.doc_id").alias("doc_id"), "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256"),
                         refolded.alias("folded_root"), (refolded == F.col("root")).alias("verified"))
 
 
