@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strideframe.llm import (
     decision_list, fingerprints, jaccard_join, language_id, line_chunks, merkle_manifest, periodic_runs, pii_bootstrap, piece_table,
-    source_mix, token_rollup, url_aliases)
+    repeat_removal, source_mix, token_rollup, url_aliases)
 from strideframe.llm.common import documents, kept_table, low_ascii, n_words, shared_folder
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -108,6 +108,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256", "n_words")
 
 
+def op12_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every byte of `documents` texts covered by a 100-byte string that stands earlier goes."""
+    out = repeat_removal.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest of `documents` by lang; rows whose crc32(doc_id) 3 divides are checked with text's A-Z lower-cased."""
     docs = documents(spark, sf_dir)
@@ -132,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii_bootstrap": op9_pii_bootstrap,
     "op10_piece_table": op10_piece_table,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_repeat_removal": op12_repeat_removal,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 SQL: dict[str, str] = {"op8_token_rollup": OP8_SQL}
