@@ -111,55 +111,103 @@ def histogram(df: DataFrame, value: str, bins: int, keys: Sequence[str] = ()) ->
         F.coalesce("_n", F.lit(0)).cast("bigint").alias("n"))
 
 
-SMALL_GROUP = 10_000
-SLACK = 0.001
+STEP = 16  # bits a narrowing round reads: four rounds settle a 64-bit code
+ROUNDS = 64 // STEP
+
+
+def order_code(x: Column) -> Column:
+    """A long that orders as the double `x` does: its IEEE-754 bits, negative values reflected.
+
+    The bits come from exponent and fraction, which powers of two give exactly (subnormal values
+    included); -0.0 codes as 0.0 and NaN above infinity, the order Spark sorts doubles in.
+    """
+    a = F.abs(x)
+    guess = F.floor(F.log2(a)).cast("int")
+    exp = (F.when(a / F.pow(F.lit(2.0), guess) >= 2, guess + 1)
+           .when(a / F.pow(F.lit(2.0), guess) < 1, guess - 1).otherwise(guess))
+    normal = ((exp + 1023).cast("long") * (1 << 52)
+              + ((a / F.pow(F.lit(2.0), exp) - 1) * float(1 << 52)).cast("long"))
+    subnormal = (a / F.lit(2.0 ** -1074)).cast("long")
+    bits = (F.when(a == 0, F.lit(0).cast("long")).when(a == float("inf"), F.lit(2047 << 52))
+            .when(exp < -1022, subnormal).otherwise(normal))
+    return (F.when(F.isnan(x), F.lit((2047 << 52) + (1 << 51)))
+            .when(x >= 0, bits).otherwise(-1 - bits))
+
+
+def select_ranks(data: DataFrame, keys: Sequence[str], ranks: DataFrame, bounded_keys: int | None = None) -> DataFrame:
+    """The values at given ranks of each key's values, by narrowing rounds over order codes.
+
+    `data` holds `keys` and a double `_v` (no nulls); `ranks` holds `keys`, an id `_j` and a
+    0-based rank `_r` below the key's row count. Returns `keys`, `_j` and `_value`.
+
+    Each round counts, for every key and prefix still wanted, the rows by the next 16 bits of
+    their order code; the counts combine on the map side, so a key with a third of all rows
+    sends at most 65,536 rows a task. The running count over those buckets (at most 65,536 per
+    key and prefix) names the bucket that holds the rank, and only that bucket's rows take part
+    in the next round. After four rounds a bucket holds one value. No sketch, no window over
+    values and no copies of rows. Rows meet the wanted prefixes by a join, or, where the caller
+    states that there are at most `bounded_keys` keys, by a lookup in a map of that size.
+    """
+    keys = list(keys)
+    coded = data.select(*keys, "_v", order_code(F.col("_v")).alias("_c"))
+    state = ranks.select(*keys, "_j", F.col("_r").cast("long").alias("_rest"), F.lit(None).cast("long").alias("_pre"))
+    key_struct = F.struct(*[F.col(c) for c in keys]) if keys else F.lit(0)
+    for k in range(ROUNDS):
+        shift = 64 - STEP * (k + 1)
+        if k == 0:
+            rows = coded.withColumn("_pre", F.lit(None).cast("long"))
+            bucket = F.shiftright("_c", shift)
+        else:
+            above = F.shiftright("_c", shift + STEP)
+            bucket = F.shiftright("_c", shift).bitwiseAND(F.lit((1 << STEP) - 1))
+            if bounded_keys is not None:
+                wanted = state.groupBy(key_struct.alias("_key")).agg(F.collect_set("_pre").alias("_pres"))
+                lookup = wanted.agg(F.map_from_entries(F.collect_list(F.struct("_key", "_pres")))).scalar()
+                rows = coded.where(F.array_contains(F.element_at(lookup, key_struct), above)).withColumn("_pre", above)
+            else:
+                pres = state.select(*[F.col(c).alias(f"_pk{i}") for i, c in enumerate(keys)], F.col("_pre").alias("_ppre")).distinct()
+                match = above == F.col("_ppre")
+                for i, c in enumerate(keys):
+                    match = match & F.col(c).eqNullSafe(F.col(f"_pk{i}"))
+                rows = coded.join(pres, match).select(*keys, "_v", "_c", F.col("_ppre").alias("_pre"))
+        counts = rows.groupBy(*keys, "_pre", bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"), F.max("_v").alias("_top"))
+        counts = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys, "_pre").orderBy("_b"))).select(
+            *[F.col(c).alias(f"_ck{i}") for i, c in enumerate(keys)], F.col("_pre").alias("_cpre"), "_b", "_n", "_top", "_upto")
+        meet = F.col("_pre").eqNullSafe(F.col("_cpre"))
+        for i, c in enumerate(keys):
+            meet = meet & F.col(c).eqNullSafe(F.col(f"_ck{i}"))
+        before = F.col("_upto") - F.col("_n")
+        chosen = state.join(counts, meet & (before <= F.col("_rest")) & (F.col("_rest") < F.col("_upto")))
+        prefix = F.col("_b") if k == 0 else F.shiftleft(F.col("_pre"), STEP).bitwiseOR(F.col("_b"))
+        state = chosen.select(*keys, "_j", (F.col("_rest") - before).alias("_rest"), prefix.alias("_pre"), F.col("_top").alias("_value"))
+    return state.select(*keys, "_j", "_value")
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
                       probabilities: Sequence[float]) -> DataFrame:
     """Exact percentiles (linear interpolation) as an array `quantiles` per key.
 
-    The built-in exact percentile keeps every distinct value of a group in one task. Here a
-    bounded sketch brackets each wanted rank first; then only values inside a bracket, about
-    0.2 % of a large group, are counted by value, and all below it are one number. The
-    ranks read off those counts are exact, whatever bracket the sketch proposed, because its
-    rank error (1/10,000) is well inside the slack (1/1,000). At least one key is needed.
+    For p the values at ranks floor((n-1)p) and ceil((n-1)p) are selected by `select_ranks`
+    (four narrowing rounds over order codes) and interpolated. Null values are left out. At
+    least one key is needed.
     """
     keys = list(keys)
     if not keys:
         raise ValueError("exact_percentiles needs at least one key column")
-    low = [max(0.0, p - SLACK) for p in probabilities]
-    high = [min(1.0, p + SLACK) for p in probabilities]
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-
-    def bracket(probs: list[float], extreme: Column, edge: float) -> Column:
-        sketch = F.percentile_approx("_v", probs, 10_000)
-        return F.array(*[
-            F.when(F.lit(p == edge) | (F.count(F.lit(1)) <= SMALL_GROUP), extreme)
-            .otherwise(sketch[i]) for i, p in enumerate(probs)])
-
-    frames = data.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"), bracket(low, F.min("_v"), 0.0).alias("_from"),
-        bracket(high, F.max("_v"), 1.0).alias("_to"))
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    frames = frames.select(*keys, "_rows", F.posexplode(F.arrays_zip(
-        F.col("_from").alias("a"), F.col("_to").alias("b"), wanted.alias("p"))).alias("_i", "_f"))
-    counted = (
-        data.join(frames, keys).where(F.col("_v") <= F.col("_f.b"))
-        .groupBy(*keys, "_i", "_rows", F.col("_f.p").alias("_p"),
-                 F.when(F.col("_v") >= F.col("_f.a"), F.col("_v")).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n")))
-    running = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
-    upto = counted.withColumn("_upto", F.sum("_n").over(running))
+    sizes = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     place = (F.col("_rows") - 1) * F.col("_p")
-    before = F.col("_upto") - F.col("_n")
-
-    def at(position: Column) -> Column:
-        return F.max(F.when((before <= position) & (position < F.col("_upto")), F.col("_v")))
-
-    lower, upper = at(F.floor(place)), at(F.ceil(place))
-    share = F.max(place - F.floor(place))
-    per_rank = upto.groupBy(*keys, "_i").agg((lower + (upper - lower) * share).alias("_q"))
+    wanted = sizes.select(*keys, "_rows", F.posexplode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("_i", "_p"))
+    ranks = wanted.select(*keys, "_i", F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.floor(place).alias("r"), (place - F.floor(place)).alias("share")),
+        F.struct(F.lit(1).alias("side"), F.ceil(place).alias("r"), (place - F.floor(place)).alias("share")))).alias("_x"))
+    ranks = ranks.select(*keys, "_i", (F.col("_i") * 2 + F.col("_x.side")).alias("_j"), F.col("_x.r").alias("_r"), F.col("_x.share").alias("_share"))
+    found = select_ranks(data, keys, ranks.select(*keys, "_j", "_r"))
+    both = ranks.join(found, [*keys, "_j"])
+    per_rank = both.groupBy(*keys, "_i").agg(
+        F.max(F.when(F.col("_j") % 2 == 0, F.col("_value"))).alias("_lo"), F.max(F.when(F.col("_j") % 2 == 1, F.col("_value"))).alias("_hi"),
+        F.max("_share").alias("_share"))
+    per_rank = per_rank.withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_share"))
     # one entry per probability: the list has the fixed length of `probabilities`
     return per_rank.groupBy(*keys).agg(F.array(*[
         F.max(F.when(F.col("_i") == i, F.col("_q"))) for i in range(len(probabilities))
@@ -185,12 +233,12 @@ def local_trend(df: DataFrame, x: str, y: str, points: int = 21, share: float =
     """Local linear trend of y on x at `points` evenly spaced x values.
 
     Each point is a straight-line fit weighted by the tricube of the distance, over a
-    neighbourhood that reaches the nearest `share` of all rows. The plotting convention adds
-    robust re-weighting passes; they are left out. Three passes do the work: the ends of x,
-    then the reach of every grid point, then one fixed set of sums per grid point. The first
-    two results are single rows, handed on as scalar subqueries; no row is repeated per grid
-    point and no pairs of rows are formed. The reach is an approximate percentile (exact
-    below 10,000 rows). `df` is read three times, so a costly input should be persisted.
+    neighbourhood that reaches the nearest `share` of all rows: its reach is the distance of rank
+    ceil(n * share) (1-based) from the point, selected exactly by `select_ranks` with the grid
+    point as key (at most `points` keys, so the wanted prefixes are a bounded lookup and the
+    distances are counted where they are made). The plotting convention adds robust
+    re-weighting passes; they are left out. The ends of x and the reaches are single rows,
+    handed on as scalar subqueries; no pairs of rows are formed.
     """
     data = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where(
         F.col("_x").isNotNull() & F.col("_y").isNotNull())
@@ -198,11 +246,13 @@ def local_trend(df: DataFrame, x: str, y: str, points: int = 21, share: float =
     def grid(lo: Column, hi: Column) -> list[Column]:
         return [lo + (hi - lo) * (i / (points - 1)) for i in range(points)]
 
-    ends = data.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi")).alias("ends"))
-    spread_out = data.select("_x", ends.scalar().alias("_e"))
-    reach = spread_out.agg(F.struct(F.max("_e.lo").alias("lo"), F.max("_e.hi").alias("hi"), *[
-        F.percentile_approx(F.abs(F.col("_x") - g), share, 10_000).alias(f"h{i}")
-        for i, g in enumerate(grid(F.col("_e.lo"), F.col("_e.hi")))]).alias("reach"))
+    ends = data.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count(F.lit(1)).alias("n")).alias("ends")).scalar()
+    spread_out = data.select("_x", ends.alias("_e"))
+    distances = spread_out.select(F.posexplode(F.array(*[F.abs(F.col("_x") - g) for g in grid(F.col("_e.lo"), F.col("_e.hi"))])).alias("_point", "_v"))
+    wanted = data.agg(F.count(F.lit(1)).alias("_n")).where("_n > 0").select(
+        F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_point"), (F.ceil(F.col("_n") * share) - 1).alias("_r"), F.lit(0).alias("_j"))
+    reaches = select_ranks(distances, ["_point"], wanted, bounded_keys=points)
+    reach = reaches.agg(F.struct(*[F.max(F.when(F.col("_point") == i, F.col("_value"))).alias(f"h{i}") for i in range(points)]).alias("reach"))
 
     def sums(i: int, g: Column) -> Column:
         dx = F.col("_x") - g
@@ -213,8 +263,8 @@ def local_trend(df: DataFrame, x: str, y: str, points: int = 21, share: float =
             F.sum(w * dx).alias("wx"), F.sum(w * F.col("_y")).alias("wy"),
             F.sum(w * dx * dx).alias("wxx"), F.sum(w * dx * F.col("_y")).alias("wxy"))
 
-    fits = data.select("_x", "_y", reach.scalar().alias("_p")).agg(F.array(*[
-        sums(i, g) for i, g in enumerate(grid(F.col("_p.lo"), F.col("_p.hi")))
+    fits = data.select("_x", "_y", ends.alias("_e"), reach.scalar().alias("_p")).agg(F.array(*[
+        sums(i, g) for i, g in enumerate(grid(F.col("_e.lo"), F.col("_e.hi")))
     ]).alias("_all")).select(F.inline("_all"))
     # centred on the grid point, the intercept of the weighted line is the trend there
     det = F.nullif(F.col("w") * F.col("wxx") - F.col("wx") * F.col("wx"), F.lit(0.0))
