@@ -53,86 +53,123 @@ def numbered(frame: DataFrame, group: str, order: Sequence[Column]) -> DataFrame
     return joined.select(*[local[c] for c in frame.columns], (F.col("_local") + F.col("_before")).cast("long").alias("_pos"), F.col("_size").cast("long").alias("_size"))
 
 
-def tree(nodes: DataFrame, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
-    """Trees over `nodes` (g, pos, h, size): one per g, built bottom-up from `size` nodes at pos 0..size-1.
+def _pivot(nodes: DataFrame, fanout: int, extra: Sequence[str] = ()) -> DataFrame:
+    """One row a parent: (g, pos, size) and per slot k the child `c{k}` and its `extra` columns `{e}{k}`."""
+    slot = F.col("pos") % fanout
+    return nodes.groupBy("g", (F.col("pos") / fanout).cast("long").alias("pos"), "size").agg(
+        *[F.max(F.when(slot == k, F.col("h"))).alias(f"c{k}") for k in range(fanout)],
+        *[F.first(F.when(slot == k, F.col(e)), ignorenulls=True).alias(f"{e}{k}") for e in extra for k in range(fanout)])
 
-    Returns the tops (g, top) and, for every input node, `path`: per level from the bottom, the
-    hex digests of its siblings left and right of it, concatenated. A group of one node is its own
-    top and has an empty path. A last run of fewer than `fanout` nodes, even one, still makes a parent.
+
+def _slots(fanout: int, extra: Sequence[str] = ()) -> Column:
+    """The pivot read back per slot: the child, what stands left and right of it, its extra columns."""
+    c = [F.col(f"c{k}") for k in range(fanout)]
+    return F.array(*[F.struct(F.lit(k).alias("slot"), c[k].alias("h"), F.concat_ws("", *c[:k]).alias("left"),
+                              F.concat_ws("", *c[k + 1:]).alias("right"), *[F.col(f"{e}{k}").alias(e) for e in extra])
+                     for k in range(fanout)])
+
+
+def _digest(fanout: int) -> Column:
+    return F.sha2(F.concat_ws("", *[F.col(f"c{k}") for k in range(fanout)]), 256)
+
+
+def build(nodes: DataFrame, fanout: int = FANOUT, extra: Sequence[str] = ()) -> tuple[DataFrame, list[DataFrame]]:
+    """Trees over `nodes` (g, pos, h, size, extra...): one per g over its nodes at pos 0..size-1.
+
+    Returns the tops (g, top) and the pivot table of every level, bottom first, each written to
+    the shared folder. Level 0 keeps the `extra` columns of its children. A group of one node is
+    its own top; a last run of fewer than `fanout` nodes, even one, still makes a parent.
     """
-    spark = nodes.sparkSession
     largest = nodes.agg(F.max("size")).first()[0] or 0
-    tops, links = [], []
-    current, span = nodes.select("g", "pos", "h", "size"), 1
+    tops, pivots = [], []
+    current, span = nodes, 1
     while True:
         tops.append(current.where(F.col("size") <= span).select("g", F.col("h").alias("top")))
         if span >= largest:
             break
-        slot = F.col("pos") % fanout
-        parents = kept_table(current.where(F.col("size") > span).groupBy("g", (F.col("pos") / fanout).cast("long").alias("pos"), "size").agg(
-            *[F.max(F.when(slot == k, F.col("h"))).alias(f"c{k}") for k in range(fanout)]), "merkle-level")
-        slots = [F.col(f"c{k}") for k in range(fanout)]
-        # the pivot read back per slot: the child and what stands left and right of it
-        spread = F.array(*[F.struct(F.lit(k).alias("slot"), slots[k].alias("h"), F.concat_ws("", *slots[:k]).alias("left"),
-                                    F.concat_ws("", *slots[k + 1:]).alias("right")) for k in range(fanout)])
-        links.append(parents.select("g", F.col("pos").alias("up"), F.inline(spread)).where(F.col("h").isNotNull())
-                     .select("g", (F.col("up") * fanout + F.col("slot")).alias("pos"), "up", "left", "right"))
-        current = parents.select("g", "pos", F.sha2(F.concat_ws("", *slots), 256).alias("h"), "size")
+        pivot = kept_table(_pivot(current.where(F.col("size") > span), fanout, extra if not pivots else ()), "merkle-level")
+        pivots.append(pivot)
+        current = pivot.select("g", "pos", _digest(fanout).alias("h"), "size")
         span *= fanout
-    above = None
-    for level in reversed(links):
-        step = F.array(F.struct("left", "right"))
-        if above is None:
-            above = level.select("g", "pos", step.alias("path"))
-        else:
-            up = above.select(F.col("g").alias("_ug"), F.col("pos").alias("_up"), F.col("path").alias("_upath"))
-            joined = level.join(up, (level["g"] == up["_ug"]) & (level["up"] == up["_up"]), "left")
-            above = joined.select("g", "pos", F.concat(step, F.coalesce("_upath", F.array().cast(EMPTY_PATH))).alias("path"))
-        above = kept_table(above, "merkle-path")
     top = tops[0]
     for more in tops[1:]:
         top = top.unionByName(more)
-    if above is None:
-        above = spark.createDataFrame([], f"g long, pos long, path {EMPTY_PATH}")
-    return top, above
+    return top, pivots
+
+
+def upper_paths(pivots: list[DataFrame], tops_path: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
+    """For the parent of every pivot row, its sibling path up to the top and on by `tops_path`.
+
+    `tops_path` gives (g, upper) for each tree's top. Built top-down: a parent's path is its own
+    siblings in the pivot above, then that pivot's path; one row a parent, so a leaf's path is
+    never stored or moved. Returns (g, pos, upper) tables matching `pivots`.
+    """
+    out: list[DataFrame | None] = [None] * len(pivots)
+    span = fanout ** len(pivots)
+    for level in range(len(pivots) - 1, -1, -1):
+        rows = pivots[level].select("g", "pos", "size")
+        top_here = rows.where(F.col("size") <= span).join(tops_path, "g").select("g", "pos", "upper")
+        if level + 1 < len(pivots):
+            above = pivots[level + 1].join(out[level + 1], ["g", "pos"]).select(
+                "g", F.col("pos").alias("up"), "upper", F.inline(_slots(fanout))).where(F.col("h").isNotNull())
+            below = above.select("g", (F.col("up") * fanout + F.col("slot")).alias("pos"),
+                                 F.concat(F.array(F.struct("left", "right")), "upper").alias("upper"))
+            top_here = top_here.unionByName(below)
+        out[level] = kept_table(top_here, "merkle-path")
+        span //= fanout
+    return out
 
 
 def manifest(docs: DataFrame, group: str = "lang", order: str = "doc_id", fields: Sequence[str] = LEAF_FIELDS,
-             fanout: int = FANOUT, carry: Sequence[str] | None = None) -> DataFrame:
-    """Leaf, subroot, root and sibling path of every row of `docs`.
+             fanout: int = FANOUT, carry: Sequence[str] | None = None, recheck: Column | None = None) -> DataFrame:
+    """Leaf, subroot, root, proof digest and a re-folded root of every row of `docs`.
 
     Leaves of a group (null is a group) ascend by `order` (nulls first; equal keys by leaf, then as
     read; repeated rows have equal leaves, so the digests do not depend on that choice). Subroots,
     ordered by group (null first, then UTF-8 bytewise), make the root likewise. Returns `row`
     (the `carry` columns, all by default, so any names may clash with ours), `leaf`, `subroot`,
-    `root` and `path` (levels from the bottom, through the subroot up to the root). An empty
-    table gives no rows. Every level is written to the shared folder, which keeps plans small.
+    `root`, `proof_sha256` (H of all siblings, level by level from the bottom, left to right; H
+    of nothing without any) and `refolded`: the root that the digest `recheck` (a column of
+    `docs`, by default the leaf) gives with the original siblings. An empty table gives no rows.
+    Every level is written to the shared folder, which keeps plans and shuffles small.
     """
     carry = list(docs.columns if carry is None else carry)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
                        F.col(f"`{group}`").alias("_grp"), F.col(f"`{order}`").alias("_ord"),
-                       leaf_digest([F.col(f"`{c}`") for c in fields]).alias("leaf"))
+                       leaf_digest([F.col(f"`{c}`") for c in fields]).alias("leaf"),
+                       (recheck if recheck is not None else leaf_digest([F.col(f"`{c}`") for c in fields])).alias("again"))
     kinds = numbered(rows.select("_grp").distinct().withColumn("_one", F.lit(0)), "_one", [F.col("_grp").asc_nulls_first()])
     kinds = kept_table(kinds.select("_grp", F.col("_pos").alias("g"), F.col("_size").alias("n_groups")), "merkle-groups")
     placed = numbered(rows, "_grp", [F.col("_ord").asc_nulls_first(), F.col("leaf")])
     placed = kept_table(placed.join(kinds, placed["_grp"].eqNullSafe(kinds["_grp"])).select(
-        "row", "leaf", "g", F.col("_pos").alias("pos"), F.col("_size").alias("size")), "merkle-leaves")
-    sub_tops, leaf_paths = tree(placed.select("g", "pos", F.col("leaf").alias("h"), "size"), fanout)
+        "row", "leaf", "again", "g", F.col("_pos").alias("pos"), F.col("_size").alias("size")), "merkle-leaves")
+    sub_tops, pivots = build(placed.select("g", "pos", F.col("leaf").alias("h"), "size", "again", "row"), fanout, ("again", "row"))
     subroots = kept_table(sub_tops.join(kinds, "g").select(
         F.lit(0).cast("long").alias("g"), F.col("g").alias("pos"), F.col("top").alias("h"), F.col("n_groups").alias("size")), "merkle-subroots")
-    root_tops, sub_paths = tree(subroots, fanout)
-    per_group = subroots.join(sub_paths, ["g", "pos"], "left").select(
-        F.col("pos").alias("g"), F.col("h").alias("subroot"), F.coalesce("path", F.array().cast(EMPTY_PATH)).alias("upper"))
-    out = placed.join(leaf_paths, ["g", "pos"], "left").join(per_group, "g")
-    return out.select("row", "leaf", "subroot", root_tops.select("top").scalar().alias("root"),
-                      F.concat(F.coalesce("path", F.array().cast(EMPTY_PATH)), "upper").alias("path"))
-
-
-def proof_digest(path: Column) -> Column:
-    """H of all siblings, level by level from the bottom, left to right (H of nothing if none)."""
-    return F.sha2(F.array_join(F.transform(path, lambda s: F.concat(s["left"], s["right"])), ""), 256)
-
-
-def folded(leaf: Column, path: Column) -> Column:
-    """The root that `leaf` gives with the siblings of `path`."""
-    return F.aggregate(path, leaf, lambda acc, s: F.sha2(F.concat(s["left"], acc, s["right"]), 256))
+    root_tops, root_pivots = build(subroots, fanout)
+    nothing = F.array().cast(EMPTY_PATH)
+    root_paths = upper_paths(root_pivots, root_tops.select("g", nothing.alias("upper")), fanout) if root_pivots else []
+    # a subroot's path in the tree of subroots: its siblings in the first pivot, then that pivot's path
+    if root_pivots:
+        firsts = root_pivots[0].join(root_paths[0], ["g", "pos"]).select(F.col("pos").alias("up"), "upper", F.inline(_slots(fanout))).where(F.col("h").isNotNull())
+        per_group = firsts.select((F.col("up") * fanout + F.col("slot")).alias("g"), F.col("h").alias("subroot"),
+                                  F.concat(F.array(F.struct("left", "right")), "upper").alias("upper"))
+    else:
+        per_group = subroots.select(F.col("pos").alias("g"), F.col("h").alias("subroot"), nothing.alias("upper"))
+    per_group = kept_table(per_group.withColumn("root", root_tops.select("top").scalar()), "merkle-groups-paths")
+    leaf_paths = upper_paths(pivots, per_group.select("g", "upper"), fanout) if pivots else []
+
+    def finish(frame: DataFrame, left: Column, right: Column, upper: Column) -> DataFrame:
+        siblings = F.array_join(F.transform(upper, lambda s: F.concat(s["left"], s["right"])), "")
+        refolded = F.aggregate(upper, F.sha2(F.concat(left, F.col("again"), right), 256) if left is not None else F.col("again"),
+                               lambda acc, s: F.sha2(F.concat(s["left"], acc, s["right"]), 256))
+        first = F.concat(left, right) if left is not None else F.lit("")
+        return frame.select("row", "leaf", "subroot", "root", F.sha2(F.concat(first, siblings), 256).alias("proof_sha256"), refolded.alias("refolded"))
+
+    lone = placed.where(F.col("size") == 1).join(per_group, "g")
+    out = finish(lone, None, None, F.col("upper"))
+    if pivots:
+        spread = pivots[0].join(leaf_paths[0], ["g", "pos"]).join(per_group.select("g", "subroot", "root"), "g").select(
+            "subroot", "root", "upper", F.inline(_slots(fanout, ("again", "row")))).where(F.col("h").isNotNull()).withColumnRenamed("h", "leaf")
+        out = out.unionByName(finish(spread, F.col("left"), F.col("right"), F.col("upper")))
+    return out

@@ -120,10 +120,9 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     touched = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
     text = F.when(touched, low_ascii(F.col("text"))).otherwise(F.col("text"))
     tampered = merkle_manifest.leaf_digest([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text])
-    built = merkle_manifest.manifest(docs.withColumn("_tampered", tampered), carry=["doc_id", "_tampered"])
-    refolded = merkle_manifest.folded(F.col("row._tampered"), F.col("path"))
-    return built.select(F.col("row.doc_id").alias("doc_id"), "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256"),
-                        refolded.alias("folded_root"), (refolded == F.col("root")).alias("verified"))
+    built = merkle_manifest.manifest(docs, carry=["doc_id"], recheck=tampered)
+    return built.select(F.col("row.doc_id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256",
+                        F.col("refolded").alias("folded_root"), (F.col("refolded") == F.col("root")).alias("verified"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
