@@ -313,8 +313,9 @@ register("a30_column_profile",
          " UNION ALL ".join(
              f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls, "
              f"(count(*) - count({c})) / count(*) AS null_share, avg({c}) AS mean, stddev_samp({c}) AS std, "
-             f"min({c}) AS min, max({c}) AS max FROM raw_readiness" for c in PROFILED),
-         "null_share mean std min max")
+             f"min({c}) AS min, max({c}) AS max, quantile_cont({c}, 0.25)::DOUBLE AS q1, quantile_cont({c}, 0.5)::DOUBLE AS median, "
+             f"quantile_cont({c}, 0.75)::DOUBLE AS q3 FROM raw_readiness" for c in PROFILED),
+         "null_share mean std min max q1 median q3")
 register("a31_common_range",
          lambda w: stats.common_range(w.table("lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"]),
          "SELECT l_returnflag, least(min(l_quantity), min(l_extendedprice)) AS range_min, "

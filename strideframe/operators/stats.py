@@ -67,10 +67,12 @@ def common_range(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> Dat
 
 
 def column_profile(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """Per column: rows, nulls, null share, mean, deviation, min, max.
+    """Per column: rows, nulls, null share, mean, deviation, min, max and the exact quartiles.
 
-    One pass computes all columns; the single result row is then turned into one row per
-    column.
+    One pass computes the counts and moments of all columns; the single result row is then
+    turned into one row per column. Quartiles (linear interpolation, nulls left out) come from
+    `exact_percentiles` with the column name as key, at most `len(numeric)` keys, so values are
+    counted where they are read. A column without values has null quartiles.
     """
     def of(c: str) -> Column:
         col = F.col(f"`{c}`").cast("double")
@@ -80,7 +82,12 @@ def column_profile(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
             F.avg(col.isNull().cast("int")).alias("null_share"), F.avg(col).alias("mean"),
             F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"))
 
-    return df.agg(F.array(*[of(c) for c in numeric]).alias("_all")).select(F.inline("_all"))
+    moments = df.agg(F.array(*[of(c) for c in numeric]).alias("_all")).select(F.inline("_all"))
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value"))
+                                        for c in numeric])))
+    quartiles = exact_percentiles(long, ["column"], "value", (0.25, 0.5, 0.75), bounded_keys=len(numeric)).select(
+        "column", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    return moments.join(quartiles, "column", "left")
 
 
 def histogram(df: DataFrame, value: str, bins: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -184,12 +191,12 @@ def select_ranks(data: DataFrame, keys: Sequence[str], ranks: DataFrame, bounded
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
-                      probabilities: Sequence[float]) -> DataFrame:
+                      probabilities: Sequence[float], bounded_keys: int | None = None) -> DataFrame:
     """Exact percentiles (linear interpolation) as an array `quantiles` per key.
 
     For p the values at ranks floor((n-1)p) and ceil((n-1)p) are selected by `select_ranks`
     (four narrowing rounds over order codes) and interpolated. Null values are left out. At
-    least one key is needed.
+    least one key is needed; `bounded_keys` states a most number of keys (see `select_ranks`).
     """
     keys = list(keys)
     if not keys:
@@ -202,7 +209,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
         F.struct(F.lit(0).alias("side"), F.floor(place).alias("r"), (place - F.floor(place)).alias("share")),
         F.struct(F.lit(1).alias("side"), F.ceil(place).alias("r"), (place - F.floor(place)).alias("share")))).alias("_x"))
     ranks = ranks.select(*keys, "_i", (F.col("_i") * 2 + F.col("_x.side")).alias("_j"), F.col("_x.r").alias("_r"), F.col("_x.share").alias("_share"))
-    found = select_ranks(data, keys, ranks.select(*keys, "_j", "_r"))
+    found = select_ranks(data, keys, ranks.select(*keys, "_j", "_r"), bounded_keys)
     both = ranks.join(found, [*keys, "_j"])
     per_rank = both.groupBy(*keys, "_i").agg(
         F.max(F.when(F.col("_j") % 2 == 0, F.col("_value"))).alias("_lo"), F.max(F.when(F.col("_j") % 2 == 1, F.col("_value"))).alias("_hi"),

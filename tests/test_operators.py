@@ -248,3 +248,37 @@ def test_block_summary_and_override(spark):
     assert b.race_date is None and b.stable_date is None and b.prediction_bias == "neutral"
     picks = {r.finding: r.block_name for r in O.key_findings(B.block_summary(B.block_series(days, blocks), blocks, late)).where("athlete_id = 'a'").collect()}
     assert picks["closest_prediction"] == "Dogwood Marathon" and len(picks) == 5
+
+
+def test_order_codes_sort_like_doubles(spark):
+    import struct
+    rng = random.Random(3)
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.0 ** -1022, 1.7976931348623157e308, float("inf"), float("-inf"), 1.0, -2.5]
+    values += [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(64)))[0] for _ in range(500)]
+    values = [v for v in values if v == v]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", stats.order_code(F.col("v")).alias("c")).collect()
+    for r in got:
+        bits = struct.unpack("<q", struct.pack("<d", abs(r.v)))[0]
+        assert r.c == (0 if r.v == 0 else bits if r.v > 0 else -1 - bits)
+
+
+def test_select_ranks_with_ties_negatives_and_a_hot_key(spark):
+    rng = np.random.default_rng(5)
+    keys = np.where(rng.random(20_000) < 0.8, "hot", np.where(rng.random(20_000) < 0.5, "a", "b"))
+    values = np.round(rng.normal(0, 1e3, 20_000)) * rng.choice([1.0, 1e-300, 1e300], 20_000)
+    data = pd.DataFrame({"k": keys, "_v": values})
+    df = spark.createDataFrame(data).repartition(6)
+    wanted = [(k, j, r) for k, g in data.groupby("k") for j, r in enumerate([0, len(g) // 3, len(g) - 1, len(g) // 2])]
+    got = {(r.k, r._j): r._value for r in stats.select_ranks(df, ["k"], spark.createDataFrame(wanted, "k string, _j int, _r long")).collect()}
+    for k, j, r in wanted:
+        assert got[(k, j)] == sorted(data[data.k == k]._v)[r]
+    bounded = stats.select_ranks(df, ["k"], spark.createDataFrame(wanted, "k string, _j int, _r long"), bounded_keys=3).collect()
+    assert {(r.k, r._j): r._value for r in bounded} == got
+
+
+def test_column_profile_quartiles(spark):
+    data = pd.DataFrame({"a": [1.0, None, 3.0, 4.0, 10.0], "b": [None] * 5})
+    df = spark.createDataFrame([(a, None) for a in (1.0, None, 3.0, 4.0, 10.0)], "a double, b double")
+    got = {r.column: r for r in stats.column_profile(df, ["a", "b"]).collect()}
+    assert [got["a"].q1, got["a"].median, got["a"].q3] == data.a.dropna().quantile([0.25, 0.5, 0.75]).tolist()
+    assert got["b"].q1 is None and got["b"].rows == 5 and got["b"].nulls == 5
