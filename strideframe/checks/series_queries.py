@@ -328,16 +328,35 @@ register("a34_mean_by_x",
 TREND_POINTS = 21
 
 
+TREND_PASSES = 3
+
+
 def _trend_sql(source: str, x: str, y: str) -> str:
+    last = TREND_POINTS - 1
+    fit = ("(SELECT point, gx AS x, (wxx * wy - wx * wxy) / (w * wxx - wx * wx) AS trend FROM "
+           "(SELECT point, gx, sum(w) AS w, sum(w * dx) AS wx, sum(w * y) AS wy, sum(w * dx * dx) AS wxx, "
+           "sum(w * dx * y) AS wxy FROM {rows} GROUP BY ALL))")
+    at = f"(CASE WHEN hi > lo THEN (s.x - lo) / (hi - lo) * {last} ELSE 0 END)"
+    i = f"least(floor({at}), {last - 1})::BIGINT"
+    passes = []
+    for k in range(1, TREND_PASSES + 1):
+        # each row's fitted value on the broken line through the last fits, then bisquare weights
+        res = f"(s.y - (line[{i} + 1] + (line[{i} + 2] - line[{i} + 1]) * ({at} - {i})))"
+        passes.append(
+            f"l{k} AS (SELECT list(trend ORDER BY point) AS line FROM f{k - 1}), "
+            f"r{k} AS (SELECT s.*, {res} AS res FROM s, e, l{k}), "
+            f"m{k} AS (SELECT quantile_cont(abs(res), 0.5) AS sc FROM r{k} WHERE point = 0), "
+            f"b{k} AS (SELECT point, gx, dx, y, w * CASE WHEN res IS NULL OR coalesce(sc, 0) = 0 THEN 1e0 "
+            f"WHEN abs(res / (6 * sc)) < 1 THEN pow(1 - (res / (6 * sc)) * (res / (6 * sc)), 2) ELSE 0e0 END AS w FROM r{k}, m{k}), "
+            f"f{k} AS {fit.format(rows=f'b{k}')}")
     return (
         f"WITH d AS (SELECT CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM {source} WHERE {x} IS NOT NULL AND {y} IS NOT NULL), "
-        f"g AS (SELECT CAST(i AS BIGINT) AS point, lo + (hi - lo) * (i / {TREND_POINTS - 1}) AS gx FROM "
-        f"(SELECT min(x) AS lo, max(x) AS hi FROM d), range({TREND_POINTS}) AS t(i)), "
+        "e AS (SELECT min(x) AS lo, max(x) AS hi FROM d), "
+        f"g AS (SELECT CAST(i AS BIGINT) AS point, lo + (hi - lo) * (i / {last}) AS gx FROM e, range({TREND_POINTS}) AS t(i)), "
         "h AS (SELECT point, gx, quantile_disc(abs(x - gx), 2e0 / 3) AS reach FROM g, d GROUP BY ALL), "
-        "s AS (SELECT point, gx, x - gx AS dx, y, pow(1 - pow(least(abs(x - gx) / reach, 1), 3), 3) AS w FROM h, d), "
-        "f AS (SELECT point, gx AS x, sum(w) AS w, sum(w * dx) AS wx, sum(w * y) AS wy, sum(w * dx * dx) AS wxx, "
-        "sum(w * dx * y) AS wxy FROM s GROUP BY ALL) "
-        "SELECT point, x, (wxx * wy - wx * wxy) / (w * wxx - wx * wx) AS trend FROM f")
+        "s AS (SELECT point, gx, x, x - gx AS dx, y, pow(1 - pow(least(abs(x - gx) / reach, 1), 3), 3) AS w FROM h, d), "
+        f"f0 AS {fit.format(rows='s')}, " + ", ".join(passes) +
+        f" SELECT point, x, trend FROM f{TREND_PASSES}")
 
 
 register("a35_local_trend_acwr",

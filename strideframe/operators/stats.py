@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -236,47 +237,88 @@ def box_statistics(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         F.count_if(~inside).alias("outliers"))
 
 
-def local_trend(df: DataFrame, x: str, y: str, points: int = 21, share: float = 2 / 3) -> DataFrame:
-    """Local linear trend of y on x at `points` evenly spaced x values.
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """The frame written to the session's checkpoint folder (spark.checkpoint.dir), if one is set.
+
+    Without a shared folder the lineage is kept and recomputed where read again; no local
+    folder is ever used.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", "")
+        if not shared:
+            return df
+        sc.setCheckpointDir(shared)
+    return df.checkpoint(eager=True)
+
+
+def local_trend(df: DataFrame, x: str, y: str, points: int = 21, share: float = 2 / 3, passes: int = 3) -> DataFrame:
+    """Robust local linear trend of y on x at `points` evenly spaced x values.
 
     Each point is a straight-line fit weighted by the tricube of the distance, over a
     neighbourhood that reaches the nearest `share` of all rows: its reach is the distance of rank
     ceil(n * share) (1-based) from the point, selected exactly by `select_ranks` with the grid
     point as key (at most `points` keys, so the wanted prefixes are a bounded lookup and the
-    distances are counted where they are made). The plotting convention adds robust
-    re-weighting passes; they are left out. The ends of x and the reaches are single rows,
-    handed on as scalar subqueries; no pairs of rows are formed.
+    distances are counted where they are made).
+
+    Then `passes` robust passes, as the plotting convention does: each row's fitted value is
+    read off the grid fits by linear interpolation, s is the exact median of the absolute
+    residuals, and every row's weight is multiplied by the bisquare (1 - u^2)^2 of u = residual /
+    (6 s) (0 from |u| >= 1). Where s is 0 or a row has no fitted value its weight stays 1.
+    The ends, the reaches, every fit and every scale are at most `points` numbers; they are
+    fetched and handed on as literals, which keeps each pass one flat plan. No pairs of rows are
+    formed. The two columns are written to the checkpoint folder once, since every pass reads them.
     """
-    data = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where(
-        F.col("_x").isNotNull() & F.col("_y").isNotNull())
-
-    def grid(lo: Column, hi: Column) -> list[Column]:
-        return [lo + (hi - lo) * (i / (points - 1)) for i in range(points)]
-
-    ends = data.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count(F.lit(1)).alias("n")).alias("ends")).scalar()
-    spread_out = data.select("_x", ends.alias("_e"))
-    distances = spread_out.select(F.posexplode(F.array(*[F.abs(F.col("_x") - g) for g in grid(F.col("_e.lo"), F.col("_e.hi"))])).alias("_point", "_v"))
-    wanted = data.agg(F.count(F.lit(1)).alias("_n")).where("_n > 0").select(
-        F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_point"), (F.ceil(F.col("_n") * share) - 1).alias("_r"), F.lit(0).alias("_j"))
-    reaches = select_ranks(distances, ["_point"], wanted, bounded_keys=points)
-    reach = reaches.agg(F.struct(*[F.max(F.when(F.col("_point") == i, F.col("_value"))).alias(f"h{i}") for i in range(points)]).alias("reach"))
-
-    def sums(i: int, g: Column) -> Column:
-        dx = F.col("_x") - g
-        ratio = F.least(F.abs(dx) / F.nullif(F.col(f"_p.h{i}"), F.lit(0.0)), F.lit(1.0))
-        w = F.pow(1 - F.pow(ratio, 3), 3)
+    data = _checkpointed(df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where(
+        F.col("_x").isNotNull() & F.col("_y").isNotNull()))
+    lo, hi, n = data.agg(F.min("_x"), F.max("_x"), F.count(F.lit(1))).first()
+    if not n:
+        return data.sparkSession.createDataFrame([], "point bigint, x double, trend double")
+    grid = [lo + (hi - lo) * (i / (points - 1)) for i in range(points)]
+    distances = data.select(F.posexplode(F.array(*[F.abs(F.col("_x") - F.lit(g)) for g in grid])).alias("_point", "_v"))
+    wanted = data.sparkSession.createDataFrame([(i, 0, math.ceil(n * share) - 1) for i in range(points)], "_point int, _j int, _r long")
+    reach = {r["_point"]: r["_value"] for r in select_ranks(distances, ["_point"], wanted, bounded_keys=points).collect()}
+
+    def sums(i: int, g: float, robust: Column) -> Column:
+        dx = F.col("_x") - F.lit(g)
+        ratio = F.least(F.abs(dx) / F.nullif(F.lit(reach[i]), F.lit(0.0)), F.lit(1.0))
+        w = F.pow(1 - F.pow(ratio, 3), 3) * robust
         return F.struct(
-            F.lit(i).cast("bigint").alias("point"), F.max(g).alias("x"), F.sum(w).alias("w"),
+            F.lit(i).cast("bigint").alias("point"), F.lit(g).alias("x"), F.sum(w).alias("w"),
             F.sum(w * dx).alias("wx"), F.sum(w * F.col("_y")).alias("wy"),
             F.sum(w * dx * dx).alias("wxx"), F.sum(w * dx * F.col("_y")).alias("wxy"))
 
-    fits = data.select("_x", "_y", ends.alias("_e"), reach.scalar().alias("_p")).agg(F.array(*[
-        sums(i, g) for i, g in enumerate(grid(F.col("_e.lo"), F.col("_e.hi")))
-    ]).alias("_all")).select(F.inline("_all"))
     # centred on the grid point, the intercept of the weighted line is the trend there
     det = F.nullif(F.col("w") * F.col("wxx") - F.col("wx") * F.col("wx"), F.lit(0.0))
     trend = (F.col("wxx") * F.col("wy") - F.col("wx") * F.col("wxy")) / det
-    return fits.select("point", "x", trend.alias("trend"))
+
+    def fit(robust: Column) -> DataFrame:
+        return data.agg(F.array(*[sums(i, g, robust) for i, g in enumerate(grid)]).alias("_all")).select(
+            F.inline("_all")).select("point", "x", trend.alias("trend"))
+
+    def fitted(line: list) -> Column:
+        """Each row's value on the broken line through the grid fits."""
+        points_line = F.array(*[F.lit(v).cast("double") for v in line])
+        at = (F.col("_x") - F.lit(lo)) / F.lit(hi - lo) * (points - 1) if hi > lo else F.lit(0.0)
+        i = F.least(F.floor(at), F.lit(points - 2)).cast("int")
+        a, b = F.get(points_line, i), F.get(points_line, i + 1)
+        return a + (b - a) * (at - i)
+
+    fits = fit(F.lit(1.0))
+    for _ in range(passes):
+        # the fits and the scale are `points` numbers and one: handed on as literals
+        line = [r["trend"] for r in sorted(fits.collect(), key=lambda r: r["point"])]
+        residual = F.col("_y") - fitted(line)
+        scale = exact_percentiles(data.select(F.lit(0).alias("_one"), F.abs(residual).alias("_r")), ["_one"], "_r", (0.5,), bounded_keys=1).first()
+        s = scale["quantiles"][0] if scale else None
+        if not s:
+            robust = F.lit(1.0)
+        else:
+            u = residual / (6 * s)
+            robust = F.when(residual.isNull(), F.lit(1.0)).when(F.abs(u) < 1, F.pow(1 - u * u, 2)).otherwise(F.lit(0.0))
+        fits = fit(robust)
+    return fits
 
 
 def totals(df: DataFrame, keys: Sequence[str] = (), **named: Column) -> DataFrame:
