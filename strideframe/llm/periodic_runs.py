@@ -3,10 +3,14 @@
 By the runs theorem every maximal repetition (run) of period p and length at least 2p holds a
 Lyndon root: a stretch of length p that is the longest Lyndon word starting there, under the
 word order or under its inverse. So the candidates are the entries of the two Lyndon arrays,
-and each is extended left and right by longest common extensions (LCE). Lyndon arrays are read
-off suffix ranks (the next suffix of smaller rank ends the longest Lyndon word) from a suffix
-sorter by prefix doubling; LCE comes from the suffix ranks, the LCP array and a sparse table of
-minima, for the text and for its reverse.
+and each is extended left and right as far as the period holds (longest common extensions).
+Lyndon arrays are read off suffix ranks: the next suffix of smaller rank ends the longest
+Lyndon word.
+
+Only runs of at least three periods are wanted, and each of them holds a Lyndon root followed
+by a copy of itself; prefix hashes of word ids test that for every position at once, and plain
+comparison extends the few that pass. Suffix ranks come from prefix doubling (numpy sorts), the
+next smaller suffix from pointer jumping.
 
 A document is one row: words are split and rewritten on the JVM, each document's runs are found
 in a Python task (Arrow batches), and digests are hashed on the JVM again.
@@ -53,96 +57,167 @@ def suffix_ranks(seq: np.ndarray) -> np.ndarray:
 
 
 def lyndon_array(ranks: np.ndarray) -> np.ndarray:
-    """Length of the longest Lyndon word at every position: up to the next smaller suffix."""
+    """Length of the longest Lyndon word at every position: up to the next smaller suffix.
+
+    The next smaller suffix is found by pointer jumping, all positions at once: from i the
+    pointer moves to j's own pointer while j's suffix is larger, since everything between j and
+    its pointer is larger still.
+    """
     n = len(ranks)
-    out = np.empty(n, dtype=np.int64)
-    stack: list[int] = []
-    for i in range(n - 1, -1, -1):
-        while stack and ranks[stack[-1]] > ranks[i]:
-            stack.pop()
-        out[i] = (stack[-1] if stack else n) - i
-        stack.append(i)
-    return out
-
-
-class Extensions:
-    """Longest common extension of two positions of a sequence, in O(1) per query after O(n log n)."""
-
-    def __init__(self, seq: np.ndarray):
-        n = len(seq)
-        self.ranks = suffix_ranks(seq)
-        order = np.empty(n, dtype=np.int64)
-        order[self.ranks] = np.arange(n)
-        lcp = np.zeros(n, dtype=np.int64)
-        h = 0
-        for i in range(n):  # Kasai: lcp[r] between the suffixes of rank r-1 and r
-            r = self.ranks[i]
-            if r > 0:
-                j = order[r - 1]
-                while i + h < n and j + h < n and seq[i + h] == seq[j + h]:
-                    h += 1
-                lcp[r] = h
-                h = max(h - 1, 0)
-            else:
-                h = 0
-        self.table = [lcp]
-        width = 1
-        while 2 * width <= n:
-            last = self.table[-1]
-            self.table.append(np.minimum(last[:-width], last[width:]))
-            width *= 2
-        self.n = n
-
-    def lce(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(a), dtype=np.int64)
-        ok = (a < self.n) & (b < self.n) & (a >= 0) & (b >= 0)
-        a, b = a[ok], b[ok]
-        ra, rb = self.ranks[a], self.ranks[b]
-        lo, hi = np.minimum(ra, rb) + 1, np.maximum(ra, rb)
-        span = hi - lo + 1
-        level = np.floor(np.log2(np.maximum(span, 1))).astype(np.int64)
-        got = np.zeros(len(a), dtype=np.int64)
-        for k in np.unique(level):
-            sel = level == k
-            row = self.table[k]
-            got[sel] = np.minimum(row[lo[sel]], row[hi[sel] - (1 << k) + 1])
-        same = a == b
-        got[same] = self.n - a[same]
-        out[ok] = got
-        return out
-
-
-def maximal_repetitions(seq: np.ndarray) -> list[tuple[int, int, int]]:
-    """All runs (start, length, smallest period) of length at least twice the period."""
-    n = len(seq)
-    if n < 2:
+    extended = np.append(ranks, -1)
+    nxt = np.minimum(np.arange(1, n + 1, dtype=np.int64), n)
+    nxt = np.append(nxt, n)
+    active = np.arange(n, dtype=np.int64)
+    while len(active):
+        j = nxt[active]
+        larger = extended[j] > extended[active]
+        active = active[larger]
+        nxt[active] = nxt[nxt[active]]
+    return nxt[:n] - np.arange(n, dtype=np.int64)
+
+
+PRIME, BASE = 2_147_483_629, 1_000_003
+_LOW = np.ones(1024, dtype=np.int64)
+for _k in range(1, 1024):
+    _LOW[_k] = _LOW[_k - 1] * BASE % PRIME
+_STEP = int(_LOW[1023]) * BASE % PRIME
+_WEIGHTS = {seed: np.random.default_rng(seed).integers(1, PRIME, size=1 << 16, dtype=np.int64) for seed in (7, 11)}
+
+
+def _prefix_hashes(ids: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of r[id] * BASE^k (k the position) modulo PRIME, prefix by prefix; and the powers.
+
+    The random weights r are drawn once a process from a fixed seed and grow with the largest id.
+    """
+    n = len(ids)
+    weights = _WEIGHTS[seed]
+    if len(ids) and ids.max() >= len(weights):
+        more = np.random.default_rng([seed, len(weights)]).integers(1, PRIME, size=int(ids.max()) + 1 - len(weights), dtype=np.int64)
+        weights = _WEIGHTS[seed] = np.concatenate([weights, more])
+    high = np.ones(n // 1024 + 1, dtype=np.int64)
+    for k in range(1, len(high)):
+        high[k] = high[k - 1] * _STEP % PRIME
+    k = np.arange(n, dtype=np.int64)
+    powers = _LOW[k % 1024] * high[k // 1024] % PRIME
+    terms = weights[ids] * powers % PRIME
+    return np.concatenate([[0], np.cumsum(terms) % PRIME]), powers
+
+
+def runs_of_exponent_three(ids: np.ndarray) -> list[tuple[int, int, int]]:
+    """Every run (start, length, smallest period) of length at least three periods.
+
+    Such a run holds, under one of the two orders, a Lyndon root at i with i + 2p inside it
+    (the runs theorem), so the candidates are the positions whose longest Lyndon word (length
+    p) is followed by itself; prefix hashes test that for all positions at once and plain
+    comparison then extends each candidate to its run. A candidate inside a run already found
+    with its period is skipped.
+    """
+    n = len(ids)
+    if n < 3:
         return []
-    _, ids = np.unique(seq, return_inverse=True)
-    ids = ids.astype(np.int64)
-    forward, backward = Extensions(ids), Extensions(ids[::-1].copy())
-    found: set[tuple[int, int, int]] = set()
+    prime = PRIME
+    sums, powers = _prefix_hashes(ids, 7)
+    sums2, powers2 = _prefix_hashes(ids, 11)
+    found: dict[tuple[int, int], int] = {}
+    pos = np.arange(n, dtype=np.int64)
     for order in (ids, ids.max() - ids):
-        lengths = lyndon_array(suffix_ranks(order))
-        i = np.arange(n, dtype=np.int64)
-        p = lengths
-        right = forward.lce(i, i + p)
-        # common suffix of the prefixes ending at i-1 and i+p-1, read on the reversed sequence
-        left = np.where(i > 0, backward.lce(n - i, n - i - p), 0)
-        length = p + right + left
-        keep = length >= 2 * p
-        for s, ln, q in zip((i - left)[keep].tolist(), length[keep].tolist(), p[keep].tolist()):
-            found.add((s, ln, q))
-    return sorted(found, key=lambda r: (r[0], r[2], r[1]))
+        p = lyndon_array(suffix_ranks(order))
+        last: dict[int, tuple[int, int]] = {}
+        ok = pos + 2 * p <= n
+        i, q = pos[ok], p[ok]
+        first = (sums[i + q] - sums[i]) % prime * powers[q] % prime
+        second = (sums[i + 2 * q] - sums[i + q]) % prime
+        first2 = (sums2[i + q] - sums2[i]) % prime * powers2[q] % prime
+        second2 = (sums2[i + 2 * q] - sums2[i + q]) % prime
+        square = (first == second) & (first2 == second2)
+        for a, period in zip(i[square].tolist(), q[square].tolist()):
+            seen = last.get(period)
+            if seen and seen[0] <= a and a + 2 * period <= seen[1]:
+                continue
+            right = _match(ids, a, a + period, n)
+            left = _match_back(ids, a - 1, a + period - 1)
+            start, end = a - left, a + period + right
+            last[period] = (start, end)
+            if end - start >= 3 * period:
+                found[(start, period)] = end
+    return sorted(((s, e - s, q) for (s, q), e in found.items()), key=lambda r: (r[0], r[2], r[1]))
+
+
+def _match(ids: np.ndarray, x: int, y: int, n: int) -> int:
+    """Words equal from x and from y on, y > x."""
+    got, width = 0, 32
+    while y + got < n:
+        a = ids[x + got:min(x + got + width, n)]
+        b = ids[y + got:min(y + got + width, n)]
+        m = min(len(a), len(b))
+        diff = np.nonzero(a[:m] != b[:m])[0]
+        if len(diff):
+            return got + int(diff[0])
+        got += m
+        width *= 2
+    return got
+
+
+def _match_back(ids: np.ndarray, x: int, y: int) -> int:
+    """Words equal backwards from x and from y (x < y), both inclusive."""
+    got, width = 0, 32
+    while x - got >= 0:
+        lo = max(x - got - width + 1, 0)
+        a = ids[lo:x - got + 1][::-1]
+        b = ids[y - (x - got - lo) - got:y - got + 1][::-1]
+        diff = np.nonzero(a != b)[0]
+        if len(diff):
+            return got + int(diff[0])
+        got += len(a)
+        width *= 2
+    return got
+
+
+def _repeats_stretch(ids: np.ndarray, width: int) -> bool:
+    """Whether some `width` consecutive ids occur twice (a hash collision can only say yes)."""
+    n = len(ids)
+    if n <= width:
+        return False
+    one, p1 = _prefix_hashes(ids, 7)
+    two, p2 = _prefix_hashes(ids, 11)
+    start = np.arange(n - width + 1, dtype=np.int64)
+    # a stretch's sum, moved back to position 0, is the same wherever it stands
+    back1 = _inverse_powers(start, _INV)
+    h1 = (one[start + width] - one[start]) % PRIME * back1 % PRIME
+    h2 = (two[start + width] - two[start]) % PRIME * back1 % PRIME
+    keys = h1 * PRIME + h2
+    return len(np.unique(keys)) < len(keys)
+
+
+_INV = pow(BASE, PRIME - 2, PRIME)
+_INV_LOW = np.ones(1024, dtype=np.int64)
+for _k in range(1, 1024):
+    _INV_LOW[_k] = _INV_LOW[_k - 1] * _INV % PRIME
+
+
+def _inverse_powers(k: np.ndarray, inv: int) -> np.ndarray:
+    low = _INV_LOW
+    step = int(low[1023]) * inv % PRIME
+    high = np.ones(int(k.max()) // 1024 + 1 if len(k) else 1, dtype=np.int64)
+    for j in range(1, len(high)):
+        high[j] = high[j - 1] * step % PRIME
+    return low[k % 1024] * high[k // 1024] % PRIME
 
 
 def summarise(words: list[str], min_length: int = MIN_LENGTH, min_exponent: int = MIN_EXPONENT) -> dict:
     """Runs of one word list: count, the one of greatest exponent, their text and the words kept.
 
-    A run counts from max(min_length, min_exponent * period) words on. A word is dropped when a
-    run holds it after its first period. The greatest exponent is compared exactly; ties go to
-    the smaller start, then the smaller period. Without a run the four numbers are None.
+    A run counts from max(min_length, min_exponent * period) words on (min_exponent at least 3).
+    A word is dropped when a run holds it after its first period. The greatest exponent is
+    compared exactly; ties go to the smaller start, then the smaller period. Without a run the
+    four numbers are None.
     """
-    runs = [r for r in maximal_repetitions(np.array(words, dtype=object)) if r[1] >= max(min_length, min_exponent * r[2])] if words else []
+    ids = pd.factorize(pd.Series(words, dtype=object))[0].astype(np.int64) if words else np.zeros(0, dtype=np.int64)
+    # such a run repeats ceil(min_length * (e - 1) / e) words at a lag of its period: without a
+    # repeated stretch of that many words there is none, and the search is left out
+    width = -(-min_length * (min_exponent - 1) // min_exponent)
+    found = runs_of_exponent_three(ids) if _repeats_stretch(ids, max(width, 1)) else []
+    runs = [r for r in found if r[1] >= max(min_length, min_exponent * r[2])]
     runs.sort(key=lambda r: (r[0], r[2]))
     dropped = np.zeros(len(words) + 1, dtype=np.int64)
     for s, ln, q in runs:

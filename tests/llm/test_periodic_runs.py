@@ -34,10 +34,24 @@ def brute(seq):
 
 
 def test_runs_equal_brute_force():
+    import numpy as np
     rng = random.Random(7)
-    for _ in range(400):
-        seq = [rng.choice("ab" if rng.random() < 0.6 else "abc") for _ in range(rng.randint(0, 70))]
-        assert periodic_runs.maximal_repetitions(seq) == brute(seq), seq
+    for _ in range(600):
+        seq = [rng.choice("ab" if rng.random() < 0.6 else "abc") for _ in range(rng.randint(0, 90))]
+        ids = np.array([ord(c) - 97 for c in seq], dtype=np.int64)
+        assert periodic_runs.runs_of_exponent_three(ids) == [r for r in brute(seq) if r[1] >= 3 * r[2]], seq
+
+
+def test_lyndon_array_by_pointer_jumping():
+    import numpy as np
+    rng = random.Random(9)
+    for _ in range(300):
+        seq = [rng.randint(0, 2) for _ in range(rng.randint(1, 40))]
+        ranks = periodic_runs.suffix_ranks(np.array(seq, dtype=np.int64))
+        suffixes = [seq[i:] for i in range(len(seq))]
+        assert sorted(range(len(seq)), key=lambda i: suffixes[i]) == sorted(range(len(seq)), key=lambda i: ranks[i])
+        naive = [next((j for j in range(i + 1, len(seq)) if suffixes[j] < suffixes[i]), len(seq)) - i for i in range(len(seq))]
+        assert periodic_runs.lyndon_array(ranks).tolist() == naive
 
 
 def contract(words):
