@@ -112,15 +112,38 @@ def slice_blocks(days: DataFrame, blocks: DataFrame, keys: Sequence[str] = ("ath
 def label_intervals(df: DataFrame, blocks: DataFrame, keys: Sequence[str] = ("athlete_id",),
                     date_col: str = "date", out: str = "marathon_block",
                     default: str = "Outside marathon blocks") -> DataFrame:
-    """Tag each row with the block that holds its date; of several, the highest priority.
-
-    Overlaps are settled per (key, day) on the block side, so the join side is unique and no
-    row multiplies. Rows of a hot key spread over the days.
+    """Tag each row with the block that holds its date; of several, the highest priority
+    (equal priorities: the greatest name).
+
+    Overlaps are settled by a change-point sweep on the block side: the starts and the days
+    after the ends of a key's blocks cut its calendar into segments, and each segment takes the
+    highest open block. The open blocks of a segment are found through a segment tree over the
+    numbered change points: a block marks the at most two nodes a level that its span of
+    change points covers exactly, and a change point reads the nodes above it. So a block costs
+    two events and O(log) marks, never a row a day, and no pairs of blocks are formed. Rows then
+    find their segment by an as-of lookup on the date.
     """
-    labels = (block_days(blocks, keys).groupBy(*keys, F.col("date").alias(date_col))
-              .agg(F.max(F.struct("priority", "block_name")).getField("block_name").alias(out)))
-    return (df.join(labels, [*keys, date_col], "left")
-            .select(*_named(df.columns), F.coalesce(F.col(out), F.lit(default)).alias(out)))
+    keys = list(keys)
+    spans = blocks.where(F.col("start_date") <= F.col("end_date")).select(
+        *keys, "start_date", F.date_add("end_date", 1).alias("_after"), F.struct("priority", "block_name").alias("_label"))
+    cuts = (spans.select(*keys, F.col("start_date").alias("_c")).unionByName(spans.select(*keys, F.col("_after").alias("_c")))
+            .distinct().withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("_c")) - 1))
+    levels = (cuts.agg(F.max("_i")).first()[0] or 0).bit_length() + 1
+    first = cuts.select(*keys, F.col("_c").alias("start_date"), F.col("_i").alias("_a"))
+    last = cuts.select(*keys, F.col("_c").alias("_after"), (F.col("_i") - 1).alias("_b"))
+    ranged = spans.join(first, [*keys, "start_date"]).join(last, [*keys, "_after"])
+    nodes = F.explode(F.array(*[
+        F.struct(F.lit(j).alias("level"), k.alias("node"), F.shiftleft(k, j).alias("lo"), (F.shiftleft(k + 1, j) - 1).alias("hi"))
+        for j in range(levels)
+        for k in (F.shiftright(F.col("_a") + (1 << j) - 1, j), F.shiftright(F.col("_b") + 1, j) - 1)]))
+    marks = (ranged.select(*keys, "_label", "_a", "_b", nodes.alias("_n"))
+             .where((F.col("_n.lo") >= F.col("_a")) & (F.col("_n.hi") <= F.col("_b")))
+             .groupBy(*keys, F.col("_n.level").alias("level"), F.col("_n.node").alias("node")).agg(F.max("_label").alias("_top")))
+    above = F.explode(F.array(*[F.struct(F.lit(j).alias("level"), F.shiftright("_i", j).alias("node")) for j in range(levels)]))
+    segments = (cuts.select(*keys, "_c", above.alias("_n")).select(*keys, "_c", "_n.level", "_n.node")
+                .join(marks, [*keys, "level", "node"], "left").groupBy(*keys, "_c").agg(F.max("_top").alias("_top")))
+    found = asof_join(df, segments, keys, date_col, "_c", ["_top"], matched="_segment")
+    return found.select(*_named(df.columns), F.coalesce(F.col("_top.block_name"), F.lit(default)).alias(out))
 
 
 def nearest_match(left: DataFrame, right: DataFrame, keys: Sequence[str], left_value: str,

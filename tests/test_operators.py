@@ -282,3 +282,22 @@ def test_column_profile_quartiles(spark):
     got = {r.column: r for r in stats.column_profile(df, ["a", "b"]).collect()}
     assert [got["a"].q1, got["a"].median, got["a"].q3] == data.a.dropna().quantile([0.25, 0.5, 0.75]).tolist()
     assert got["b"].q1 is None and got["b"].rows == 5 and got["b"].nulls == 5
+
+
+def test_interval_labels_by_change_points_equal_day_by_day(spark):
+    rng = random.Random(4)
+    base = dt.date(2024, 1, 1)
+    blocks, rows = [], []
+    for athlete in ("hot", "a", "b"):
+        for b in range(60 if athlete == "hot" else 5):
+            start = base + dt.timedelta(days=rng.randint(0, 300))
+            blocks.append((athlete, f"B{b % 7}", rng.randint(1, 3), start, start + dt.timedelta(days=rng.randint(-2, 40))))
+        rows += [(athlete, base + dt.timedelta(days=d)) for d in range(-5, 360, 3)]
+    blocks.append(("a", "Same", 2, base, base))
+    blocks.append(("a", "Samf", 2, base, base))
+    bdf = spark.createDataFrame(blocks, "athlete_id string, block_name string, priority int, start_date date, end_date date")
+    got = {(r.athlete_id, r.date): r.marathon_block for r in temporal.label_intervals(
+        spark.createDataFrame(rows, "athlete_id string, date date"), bdf).collect()}
+    for athlete, day_ in rows:
+        holding = [(p, n) for a, n, p, s, e in blocks if a == athlete and s <= day_ <= e]
+        assert got[(athlete, day_)] == (max(holding)[1] if holding else "Outside marathon blocks")
