@@ -95,22 +95,23 @@ def histogram(df: DataFrame, value: str, bins: int, keys: Sequence[str] = ()) ->
     """Equal-width bins between the smallest and the largest value, empty bins included.
 
     The last bin holds the largest value. Where all values are equal the range is widened by
-    one half each way.
+    one half each way. Two passes: the ends of each key, then every row is binned and counted
+    on the map side; distinct values are never grouped.
     """
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_n")))
-    ends = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    ends = data.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     half = F.when(F.col("_lo") == F.col("_hi"), 0.5).otherwise(0.0)
     ends = ends.select(*keys, (F.col("_lo") - half).alias("_lo"), (F.col("_hi") + half).alias("_hi"))
     if keys:
-        placed = counts.join(ends, list(keys))
+        placed = data.join(ends, list(keys))
         lo, hi = F.col("_lo"), F.col("_hi")
     else:  # one row: used as scalar subqueries rather than joined
-        placed = counts
+        placed = data
         lo, hi = ends.select("_lo").scalar(), ends.select("_hi").scalar()
     bin_no = F.least(F.width_bucket("_v", lo, hi, F.lit(bins)), F.lit(bins))
+    # binned where the rows are read: the shuffle holds at most `bins` rows a key and task
     filled = (placed.withColumn("bin", bin_no.cast("bigint"))
-              .groupBy(*keys, "bin").agg(F.sum("_n").alias("_n")))
+              .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("_n")))
     slots = ends.withColumn("bin", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(bins).cast("bigint"))))
     width = (F.col("_hi") - F.col("_lo")) / bins
     return slots.join(filled, [*keys, "bin"], "left").select(
