@@ -22,7 +22,9 @@ keys by hashing, which needs no global order. A hash collision (chance about 2^-
 join unequal strings; no byte comparison follows.
 
 Texts are written once as a table bucketed by a row id, so the three later passes over texts join
-their small per-document lists without moving the texts.
+their small per-document lists without moving the texts. What two steps read (phrases, segments,
+the first copies, strings) is written to the shared folder once, so no Python pass runs twice,
+and a Python task hands on its rows in slices of SLICE.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strideframe.llm.common import kept_table
+
 #: Fixed value of the contract: the length of a string that counts as repeated.
 LENGTH = 100
 #: Parameters of the parse: bytes a trigger reads, the modulus it meets, the rolling base and prime.
@@ -44,10 +48,18 @@ SPACING = 32
 BASE, PRIME = 257, 2_147_483_647
 
 
+#: Rows a Python task gathers before it hands them on.
+SLICE = 65_536
+
+
 def _signed(v: int) -> int:
     return v - (1 << 64) if v >= 1 << 63 else v
 
 
+def _frame(out: dict[str, list], flags: tuple[str, ...] = ("_null",)) -> pd.DataFrame:
+    return pd.DataFrame({k: pd.Series(v, dtype="bool" if k in flags else "int64") for k, v in out.items()})
+
+
 def triggers(buf: np.ndarray, window: int, spacing: int) -> np.ndarray:
     n = len(buf)
     if n < window:
@@ -100,10 +112,11 @@ def _phrase_rows(length: int, window: int, spacing: int):
                 for s, t in zip(a.tolist(), e.tolist()):
                     rid.append(r)
                     start.append(s)
-                    end.append(t)
                     key.append(_signed(xxhash.xxh3_64_intdigest(raw[s:t])))
-            yield pd.DataFrame({"_rid": pd.Series(rid, dtype="int64"), "a": pd.Series(start, dtype="int64"),
-                                "e": pd.Series(end, dtype="int64"), "P": pd.Series(key, dtype="int64")})
+                if len(rid) >= SLICE:
+                    yield _frame({"_rid": rid, "a": start, "P": key})
+                    rid, start, key = [], [], []
+            yield _frame({"_rid": rid, "a": start, "P": key})
     return run
 
 
@@ -123,7 +136,10 @@ def _segment_rows(length: int, window: int, spacing: int):
                     digest = xxhash.xxh3_128_intdigest(raw[s:min(e + length - 1, n)])
                     for name, v in zip(out, (r, null, doc, s, e, _signed(digest >> 64), _signed(digest & ((1 << 64) - 1)))):
                         out[name].append(v)
-            yield pd.DataFrame({k: pd.Series(v, dtype="bool" if k == "_null" else "int64") for k, v in out.items()})
+                if len(out["_rid"]) >= SLICE:
+                    yield _frame(out)
+                    out = {k: [] for k in out}
+            yield _frame(out)
     return run
 
 
@@ -139,7 +155,10 @@ def _string_rows(length: int):
                         digest = xxhash.xxh3_128_intdigest(raw[j:j + length])
                         for name, v in zip(out, (r, null, doc, j, _signed(digest >> 64), _signed(digest & ((1 << 64) - 1)))):
                             out[name].append(v)
-            yield pd.DataFrame({k: pd.Series(v, dtype="bool" if k == "_null" else "int64") for k, v in out.items()})
+                        if len(out["_rid"]) >= SLICE:
+                            yield _frame(out)
+                            out = {k: [] for k in out}
+            yield _frame(out)
     return run
 
 
@@ -188,17 +207,17 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                  F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(0)).alias("_doc"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("_bytes"))
      .repartition(parts, "_rid").write.bucketBy(parts, "_rid").sortBy("_rid").saveAsTable(name))
     texts = spark.table(name)
-    found = texts.select("_rid", "_bytes").mapInPandas(_phrase_rows(length, window, spacing), "_rid long, a long, e long, P long")
+    found = kept_table(texts.select("_rid", "_bytes").mapInPandas(_phrase_rows(length, window, spacing), "_rid long, a long, P long"), "phrases")
     repeated = found.groupBy("P").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("P")
     shared = found.join(repeated, "P", "left_semi").groupBy("_rid").agg(F.collect_list("a").alias("_shared"))
     with_shared = texts.join(shared, "_rid", "left")
-    segs = with_shared.mapInPandas(_segment_rows(length, window, spacing), "_rid long, _null boolean, _doc long, s long, e long, K1 long, K2 long")
+    segs = kept_table(with_shared.mapInPandas(_segment_rows(length, window, spacing), "_rid long, _null boolean, _doc long, s long, e long, K1 long, K2 long"), "segments")
     groups = segs.groupBy("K1", "K2", (F.col("e") - F.col("s")).alias("_len")).agg(_earliest("s"))
     placed = segs.withColumn("_len", F.col("e") - F.col("s")).join(groups, ["K1", "K2", "_len"])
     is_first = (F.col("first._rid") == F.col("_rid")) & (F.col("first.s") == F.col("s"))
-    placed = placed.select("_rid", "s", "e", is_first.alias("_first"))
+    placed = kept_table(placed.select("_rid", "s", "e", is_first.alias("_first")), "segment-firsts")
     firsts = placed.where("_first").groupBy("_rid").agg(F.collect_list(F.struct("s", "e")).alias("_first"))
-    strings = texts.join(firsts, "_rid").mapInPandas(_string_rows(length), "_rid long, _null boolean, _doc long, pos long, H1 long, H2 long")
+    strings = kept_table(texts.join(firsts, "_rid").mapInPandas(_string_rows(length), "_rid long, _null boolean, _doc long, pos long, H1 long, H2 long"), "strings")
     earliest = strings.groupBy("H1", "H2").agg(_earliest("pos"))
     later = strings.join(earliest, ["H1", "H2"]).where(~((F.col("first._rid") == F.col("_rid")) & (F.col("first.pos") == F.col("pos"))))
     marks = (placed.where(~F.col("_first")).select("_rid", "s", F.col("e").alias("t"))
