@@ -268,7 +268,9 @@ def periodic_runs(docs: DataFrame, text: str = "text", key: str = "doc_id", rewr
     ours = ("n_words", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
     if key in ours:
         raise ValueError(f"key column {key!r} clashes with a result column")
-    w = split_words(F.col("_text").cast("string"))
+    # the words are a column of their own before the rewrite reads them once a word: inside the
+    # lambda the split would otherwise be evaluated again for every word
+    w = F.col("_split")
     if rewrite:
         w = rewritten(w, F.col("_key"))
     kind = docs.schema[key].dataType.simpleString()
@@ -276,7 +278,8 @@ def periodic_runs(docs: DataFrame, text: str = "text", key: str = "doc_id", rewr
     # worker with all of them
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).repartition(spread)
-    found = dealt.select("_key", w.alias("_words")).mapInPandas(_tasks, RUNS_SCHEMA.replace("_key long", f"_key {kind}"))
+    split = dealt.select("_key", split_words(F.col("_text").cast("string")).alias("_split"))
+    found = split.select("_key", w.alias("_words")).mapInPandas(_tasks, RUNS_SCHEMA.replace("_key long", f"_key {kind}"))
     return found.select(
         F.col("_key").alias(key), "n_words", "n_runs", "start", "length", "period", "exponent_milli",
         F.sha2(F.col("runs_text"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"))
