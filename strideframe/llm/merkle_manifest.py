@@ -40,10 +40,13 @@ def numbered(frame: DataFrame, group: str, order: Sequence[Column]) -> DataFrame
     Rows are range-partitioned on (group, order, a row id), so one group spreads over many tasks;
     each task numbers its own rows, and the counts of (task, group), a table of at most tasks times
     groups rows, give every task its offset. Rows equal in group and order are numbered in the
-    order of a row id; `group` may be null (a group of its own).
+    order of a row id; `group` may be null (a group of its own). The ranges are written once: made
+    a second time for the counts, their bounds are sampled anew and adaptive execution merges them
+    by other sizes, so places and offsets would not belong together.
     """
     keyed = frame.withColumn("_tie", F.monotonically_increasing_id())
     ranged = keyed.repartitionByRange(F.col(group).asc_nulls_first(), *order, F.col("_tie")).withColumn("_part", F.spark_partition_id())
+    ranged = kept_table(ranged, "merkle-ranges")
     local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_part", group).orderBy(*order, "_tie")) - 1)
     counts = ranged.groupBy("_part", F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(

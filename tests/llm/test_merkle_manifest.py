@@ -87,3 +87,23 @@ def test_numbering_spreads_a_hot_group(spark):
         mine = sorted((r["_pos"], r["k"]) for r in got if r["g"] == g)
         assert [p for p, _ in mine] == list(range(len(mine))) and [k for _, k in mine] == sorted(k for _, k in mine)
         assert {r["_size"] for r in got if r["g"] == g} == {len(mine)}
+
+
+def test_places_and_offsets_come_from_the_same_ranges(spark):
+    """Rows with a wide column: ranges made twice are merged by other sizes where only the counts are read."""
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
+                "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "40"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        frame = spark.range(0, 6000, 1, 5).selectExpr("6000 - id as k", "case when id % 3 = 0 then 'hot' when id % 3 = 1 then 'b' end as g",
+                                                      "sha2(cast(id as string), 512) as wide")
+        got = merkle_manifest.numbered(frame, "g", [__import__("pyspark.sql.functions", fromlist=["col"]).col("k")]).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(got) == 6000
+    for g in (None, "b", "hot"):
+        mine = sorted((r["_pos"], r["k"]) for r in got if r["g"] == g)
+        assert [p for p, _ in mine] == list(range(2000)) and [k for _, k in mine] == sorted(k for _, k in mine)
