@@ -56,3 +56,26 @@ def test_query_and_empty_table(spark, tmp_path):
     got = sorted((tuple(r) for r in QUERIES["op12_repeat_removal"](spark, str(tmp_path)).collect()), key=repr)
     assert got == brute(rows, 100) and any(r[2] for r in got)
     assert repeat_removal.without_repeats(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_every_way_of_meeting_contexts(spark):
+    """Crowded anchors by string hashes, and cut ranges, give the brute-force result too."""
+    rows = fixture(random.Random(3))
+    frame = spark.createDataFrame(rows, DOCS).repartition(3)
+    for most, spacing in ((1, 128), (2, 5), (4096, 3)):
+        got = repeat_removal.without_repeats(frame, length=30, window=6, spacing=spacing, most=most)
+        got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got.collect()), key=repr)
+        assert got == brute(rows, 30), (most, spacing)
+
+
+def test_one_row_a_range_not_one_a_byte_or_short_phrase():
+    """Fewer rows than a twentieth of the bytes; pieces of a text have the ranges of the whole."""
+    import numpy as np
+    rng = np.random.default_rng(2)
+    buf = rng.integers(97, 123, 40_000).astype(np.uint8)
+    first, last, gram = repeat_removal.anchor_ranges(buf, np.array([len(buf)]), 100, repeat_removal.WINDOW, repeat_removal.SPACING)
+    assert len(first) < len(buf) / 30 and first[0] == 0 and last[-1] == len(buf) - 100
+    assert (first[1:] == last[:-1] + 1).all()
+    for a, b in ((0, 15_000), (15_000, 39_900)):
+        part = repeat_removal.anchor_ranges(buf[a:b + 99], np.array([b + 99 - a]), 100, repeat_removal.WINDOW, repeat_removal.SPACING)
+        assert set((part[0] + a)[1:].tolist()) <= set(first.tolist())
