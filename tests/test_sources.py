@@ -144,3 +144,17 @@ def test_manifest_reasons(spark):
 def test_union_fills_missing_columns(spark):
     a, b = spark.sql("select 1 x, 2 y"), spark.sql("select 3 x")
     assert rows(readers.union_tables(a, b), "x") == [(1, 2), (3, None)]
+
+
+def test_tables_by_athlete_have_a_bounded_number_of_folders(spark, tmp_path):
+    import os
+    path = str(tmp_path / "t")
+    df = spark.range(400).selectExpr("cast(id as string) as athlete_id", "id as v")
+    writers.write_table(df, path)
+    assert len([d for d in os.listdir(path) if "=" in d]) <= 64
+    # some athletes again, one of them new: the others stay as they are, also in the same folders
+    writers.write_table(spark.sql("select '7' as athlete_id, -1L as v union all select '7', -2L union all select 'new', 5L"), path)
+    stored = readers.read_table(spark, path)
+    assert stored.columns == ["athlete_id", "v"] and stored.count() == 402
+    assert rows(stored.where("v < 0 or athlete_id in ('6', '7', 'new')"), "v") == [("7", -2), ("7", -1), ("new", 5), ("6", 6)]
+    assert rows(readers.read_table(spark, path, athlete_ids=["7", "9"]), "v") == [("7", -2), ("7", -1), ("9", 9)]
