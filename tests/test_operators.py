@@ -305,14 +305,10 @@ def test_interval_labels_by_change_points_equal_day_by_day(spark):
 
 def test_box_statistics_compute_their_input_once(spark, tmp_path):
     """Every further reading of the input would run its shuffle again."""
-    old = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
-    try:
-        df = spark.range(0, 90).selectExpr("id % 2 as g", "id as v").groupBy("v").agg(F.max("g").alias("g"))
-        out = stats.box_statistics(df, ["g"], "v")
-        plan = out._jdf.queryExecution().optimizedPlan().toString()
-        assert plan.count("Range (0, 90") == 0
-        assert [(r.g, r.q1, r["median"], r.q3, r.whisker_low, r.whisker_high, r.outliers) for r in out.orderBy("g").collect()] == [
-            (0, 22.0, 44.0, 66.0, 0, 88, 0), (1, 23.0, 45.0, 67.0, 1, 89, 0)]
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if old is None else spark.conf.set("spark.checkpoint.dir", old)
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "shared"))
+    df = spark.range(0, 90).selectExpr("id % 2 as g", "id as v").groupBy("v").agg(F.max("g").alias("g"))
+    out = stats.box_statistics(df, ["g"], "v")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 90") == 0
+    assert [(r.g, r.q1, r["median"], r.q3, r.whisker_low, r.whisker_high, r.outliers) for r in out.orderBy("g").collect()] == [
+        (0, 22.0, 44.0, 66.0, 0, 88, 0), (1, 23.0, 45.0, 67.0, 1, 89, 0)]
