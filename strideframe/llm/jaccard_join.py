@@ -32,6 +32,8 @@ COUNTED = 16
 FREQUENT = 8
 FREQUENT_BITS = 1 << 23
 MOST_FREQUENT = 1 << 20
+#: Rows whose texts and sets a Python task holds at a time; Spark's batches are larger.
+SLICE = 512
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -62,10 +64,16 @@ def _sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _profiles(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             ids, sizes, keys, sketches, counted = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shingles = shingle_set(text, width)
@@ -90,7 +98,7 @@ def _prefixes(width: int, frequent: bytes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             out: list[np.ndarray] = []
             keys, sizes, times = [], [], []
             for text in batch.column(0).to_pylist():
@@ -324,7 +332,7 @@ def jaccard_classes(docs: DataFrame, width: int = WORDS_A_SHINGLE, block: int =
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, seen = np.frombuffer(bits, np.uint8), set()
-        for batch in batches:
+        for batch in _slices(batches):
             slot = batch.column(2).to_numpy()
             keep = np.flatnonzero((marks[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
             keys, values = [], []

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -69,6 +70,12 @@ def test_language_rejects_narrow_margins(spark):
     assert got == [("a", True), ("und", True), ("und", True)]
 
 
+def test_language_is_measured_once_where_rejected_rows_go(spark, small, monkeypatch, capsys):
+    monkeypatch.setattr(corpus_pipeline, "learned_languages", lambda docs: {"a": b"alpha beta " * 20, "b": b"gamma delta " * 20})
+    corpus_pipeline.known_language(spark, small, SF).explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+
+
 def test_mix_meets_targets(spark, small):
     got = source_mix.mix_sources(small).toPandas().merge(small.select("doc_id", "source", "text").toPandas(), on="doc_id")
     assert (got["size"] == [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in got["text"]]).all()
@@ -182,6 +189,15 @@ def test_jaccard_join_is_exact(spark, small):
     assert {tuple(r) for r in jaccard_join.jaccard_classes(small).collect()} == brute_classes(rows(small.select("doc_id", "text")))
 
 
+def test_jaccard_sets_are_made_in_slices():
+    texts = [f"{k // 2} and some words that are shared" if k % 7 else None for k in range(2 * jaccard_join.SLICE + 5)]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    got = list(jaccard_join._profiles(5)(iter([whole])))
+    assert [b.num_rows for b in got] == [jaccard_join.SLICE, jaccard_join.SLICE, 5] and [i for b in got for i in b.column(0).to_pylist()] == list(range(len(texts)))
+    ones = [b for k in range(len(texts)) for b in jaccard_join._profiles(5)(iter([whole.slice(k, 1)]))]
+    assert [b.column(2).to_pylist() for b in ones] == [[key] for b in got for key in b.column(2).to_pylist()]
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (9, 8), (7, 7), (None, 1), (3, 5)] + [(k, k + 1) for k in range(100, 160)]
     got = dict(rows(components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b")))
