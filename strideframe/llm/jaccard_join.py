@@ -2,9 +2,11 @@
 
 Documents with one and the same set are first folded into one. A total order of shingles that puts
 frequent ones last gives every set a prefix; two sets that reach the similarity share a shingle of
-their prefixes. The smallest set of each such shingle is a pivot, and all sets that share one of
-the pivot's shingles form its region, so that every linked pair meets in a region. Regions above
-`block` members are dealt out as pairs of blocks. A parity sketch, whose Hamming distance never
+their prefixes, and the first that they share is an early one of the smaller set. The sets of a
+shingle, by size, fall into runs without a gap that the similarity rules out; a run begins with a set that
+has the shingle early, its pivot. All runs of a pivot form its region, so that every linked pair meets in a
+region. Shingles are dealt out packed, ten bytes each, with a short tag of the set; tags that several sets
+share are regions, too. Regions above `block` members are dealt out as pairs of blocks. A parity sketch, whose Hamming distance never
 exceeds the symmetric difference, tells which members of a region can be linked at all; only their full
 sets are shipped, once for each group of such members. In a group the metric-space join proper runs: Voronoi cells around pivots,
 windows by the triangle inequality that copy boundary members, and recursion down to small cells.
@@ -13,6 +15,7 @@ Only links that join two so far separate groups leave a task, never all pairs of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +23,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strideframe.llm.common import SIMILAR, WORDS_A_SHINGLE, kept_table
 from strideframe.llm.components import components
@@ -34,6 +36,15 @@ FREQUENT_BITS = 1 << 23
 MOST_FREQUENT = 1 << 20
 #: Rows whose texts and sets a Python task holds at a time; Spark's batches are larger.
 SLICE = 512
+#: A shingle of a prefix as it is dealt out: the upper half of its hash, a tag of its set, and the
+#: set's size class twice, plus one if a smaller or equal set must have met it before.
+POSTING = np.dtype([("rest", "<u4"), ("tag", "<u4"), ("tag_top", "u1"), ("rank", "u1")])
+TAG_BYTES = 5
+#: Size classes a factor of 1 / similarity spans, and their most distance between linked sets (one more, for rounding).
+CLASSES = 2
+#: Postings that a bucket holds on average, and that a task packs at a time.
+BUCKET = 1 << 16
+PACK = 1 << 19
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -93,14 +104,26 @@ def _profiles(width: int):
     return run
 
 
-def _prefixes(width: int, frequent: bytes):
+def _size_class(n: int) -> int:
+    return min(127, int(CLASSES * math.log(n) / math.log(SIMILAR[1] / SIMILAR[0])))
+
+
+def _prefixes(width: int, frequent: bytes, buckets: int, tag_bytes: int):
+    """Packed postings of the prefixes, a row for each bucket of shingles met in some sets of the task."""
     bits = np.frombuffer(frequent, np.uint8)
+    low, high = SIMILAR
+
+    def packed(postings: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(bucket, kind="stable")
+        starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        ends = np.append(starts, len(order)).astype(np.int32) * POSTING.itemsize
+        data = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(postings[order].tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[order][starts]), data], names=["bucket", "postings"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        held, places, n_held = [], [], 0
         for batch in _slices(batches):
-            out: list[np.ndarray] = []
-            keys, sizes, times = [], [], []
             for text in batch.column(0).to_pylist():
                 shingles = shingle_set(text, width)
                 n = len(shingles)
@@ -111,19 +134,61 @@ def _prefixes(width: int, frequent: bytes):
                 slot = (shingles % np.uint64(FREQUENT_BITS)).astype(np.int64)
                 late = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
                 ordered = np.concatenate([shingles[~late], shingles[late]]) if late.any() else shingles
-                take = n - (-(-SIMILAR[0] * n // SIMILAR[1])) + 1
-                out.append(ordered[:take])
-                keys.append(key)
-                sizes.append(n)
-                times.append(min(take, n))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out).view(np.int64)),
-                     pa.array(keys, pa.binary()).take(pa.array(np.repeat(np.arange(len(keys)), times))),
-                     pa.array(np.repeat(np.array(sizes, np.int64), times))], names=["shingle", "key", "n"])
+                ordered = ordered[:n - (-(-low * n // high)) + 1]
+                tag = int.from_bytes(key[:tag_bytes], "big")
+                postings = np.empty(len(ordered), POSTING)
+                postings["rest"] = ordered >> np.uint64(32)
+                postings["tag"], postings["tag_top"] = tag & 0xFFFFFFFF, tag >> 32
+                postings["rank"] = 2 * _size_class(n) + (np.arange(len(ordered)) * (high + low) > n * (high - low))
+                held.append(postings)
+                places.append(((ordered & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64))
+                n_held += len(ordered)
+                if n_held >= PACK:
+                    yield packed(np.concatenate(held), np.concatenate(places))
+                    held, places, n_held = [], [], 0
+        if held:
+            yield packed(np.concatenate(held), np.concatenate(places))
     return run
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE // 2):
+            part = batch.slice(at, SLICE // 2)
+            rows = part.column(1).to_pylist()
+            postings = np.frombuffer(b"".join(rows), POSTING)
+            bucket = np.repeat(part.column(0).to_numpy(), [len(r) // POSTING.itemsize for r in rows])
+            tags = postings["tag"].astype(np.int64) | postings["tag_top"].astype(np.int64) << 32
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket << 32 | postings["rest"]), pa.array(postings["rank"].astype(np.int32)), pa.array(tags)], names=["shingle", "rank", "tag"])
+
+
+def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pivot, tag) of the runs of each shingle; the input is sorted by shingle and rank.
+
+    A set goes on if it stands at most the similarity's distance behind one that has the shingle
+    early. The last such set is all that is carried from batch to batch, under its pivot's tag.
+    """
+    shingle, rank, tag = (np.array([], np.int64) for _ in range(3))
+    for batch in batches:
+        shingle, rank, tag = (np.concatenate([old, new.to_numpy()]) for old, new in zip((shingle, rank, tag), batch.columns, strict=True))
+        sizes, places = rank >> 1, np.arange(len(rank))
+        early = np.flatnonzero(rank & 1 == 0)
+        if not len(early):
+            shingle, rank, tag = shingle[:0], rank[:0], tag[:0]
+            continue
+        begins = np.ones(len(early), bool)
+        begins[1:] = (shingle[early[1:]] != shingle[early[:-1]]) | (sizes[early[1:]] - sizes[early[:-1]] > CLASSES + 1)
+        pivot = early[np.maximum.accumulate(np.where(begins, np.arange(len(early)), 0))]
+        last = np.searchsorted(early, places, "right") - 1
+        near = early[last]
+        meets = (last >= 0) & (shingle[near] == shingle) & (sizes - sizes[near] <= CLASSES + 1)
+        pivots = tag[pivot[last]]
+        meets &= pivots != tag
+        yield pa.RecordBatch.from_arrays([pa.array(pivots[meets]), pa.array(tag[meets])], names=["pivot", "tag"])
+        shingle, rank, tag = shingle[early[-1:]], rank[early[-1:]], tag[pivot[-1:]]
+
+
 def _frequent_bits(profiles: DataFrame) -> bytes:
     """A bit table of fixed size that marks shingles which many sets hold."""
     counts = profiles.where("counted is not null").select(F.explode("counted").alias("shingle")).groupBy("shingle").count().where(F.col("count") >= FREQUENT)
@@ -288,35 +353,39 @@ def linked_groups(sets: list[np.ndarray], cell: int = 32, pivots: int = 8) -> li
     return links
 
 
-def jaccard_classes(docs: DataFrame, width: int = WORDS_A_SHINGLE, block: int = 512) -> DataFrame:
+def jaccard_classes(docs: DataFrame, width: int = WORDS_A_SHINGLE, block: int = 512, tag_bytes: int = TAG_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the groups of documents that links connect.
 
     Two documents link when 100 * |A and B| >= 75 * |A or B| for their sets of `width`-word
     shingles, A-Z in lower case; with fewer words the whole sequence is the one shingle. A null,
     empty or blank text has an empty set, links with nothing and is its own component. Rows that
     repeat a doc_id give a row each, and share the least component id of their texts' groups. Rows
-    with a null doc_id have no identity to report and are left out. Other columns are ignored.
+    with a null doc_id have no identity to report and are left out. Other columns are ignored. `block`
+    and `tag_bytes` (5 at most) change the work only, never results.
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profiles = kept_table(texts.mapInArrow(_profiles(width), "doc_id long, n long, key binary, sketch binary, counted array<long>"), "profiles")
     sets = kept_table(profiles.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
     frequent = _frequent_bits(profiles)
 
-    by_shingle = Window.partitionBy("shingle").orderBy("n", "key")
-    postings = texts.select("text").mapInArrow(_prefixes(width, frequent), "shingle long, key binary, n long")
-    reach = (postings.withColumn("pivot", F.first("key").over(by_shingle))
-             .where("key <> pivot").select("pivot", "key").distinct())
-    reach = kept_table(reach, "reach")
-    pivots = reach.select("pivot").distinct().select("pivot", F.col("pivot").alias("key"))
+    low, high = SIMILAR
+    postings = profiles.agg(F.sum(F.col("n") - F.ceil(F.col("n") * low / high) + 1)).head()[0] or 0
+    packed = texts.select("text").mapInArrow(_prefixes(width, frequent, -(-postings // BUCKET) or 1, tag_bytes), "bucket long, postings binary")
+    met = packed.repartition("bucket").mapInArrow(_unpacked, "shingle long, rank int, tag long").sortWithinPartitions("shingle", "rank", "tag")
+    reach = kept_table(met.mapInArrow(_reached, "pivot long, tag long").distinct(), "reach")
+
+    tagged = sets.select("key", "n", "sketch", F.conv(F.hex(F.substring("key", 1, tag_bytes)), 16, 10).cast("long").alias("tag"))
+    shared = tagged.groupBy("tag").count().where("count > 1").select(F.col("tag").alias("pivot"))
+    pivots = reach.select("pivot").unionByName(shared).distinct().select("pivot", F.col("pivot").alias("tag"))
     members = reach.unionByName(pivots)
 
     blocks = kept_table(members.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks")
     sized = members.join(blocks, "pivot")
-    mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    cells = sized.select("pivot", "key", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select("pivot", "key", "mine", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
+    mine = F.pmod(F.xxhash64("tag"), F.col("blocks")).cast("int")
+    cells = sized.select("pivot", "tag", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("pivot", "tag", "mine", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
 
-    cells = cells.join(sets.select("key", "n", "sketch"), "key").select("pivot", "a", "b", "mine", "key", "n", "sketch")
+    cells = cells.join(tagged, "tag").select("pivot", "a", "b", "mine", "key", "n", "sketch")
     clustered = cells.repartition("pivot", "a", "b").sortWithinPartitions("pivot", "a", "b")
     active = kept_table(clustered.mapInArrow(_close, "group binary, key binary").distinct(), "active")
 
@@ -349,7 +418,7 @@ def jaccard_classes(docs: DataFrame, width: int = WORDS_A_SHINGLE, block: int =
     found = kept_table(found.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "found")
 
     clustered = active.join(found, "key").select("group", "key", "shingles").repartition("group").sortWithinPartitions("group")
-    links = clustered.mapInArrow(_joined, "left binary, right binary").distinct()
+    links = kept_table(clustered.mapInArrow(_joined, "left binary, right binary").distinct(), "links")
     ids = sets.select(F.col("key").alias("left"), F.col("first").alias("u"))
     edges = links.join(ids, "left").join(ids.select(F.col("left").alias("right"), F.col("u").alias("v")), "right").select("u", "v")
     repeated = profiles.where("n > 0").join(sets.select("key", "first"), "key").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))

@@ -1,6 +1,7 @@
 """Corpus operators against brute force, exact round trips, held-out accuracy and odd rows."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -198,6 +199,44 @@ def test_jaccard_sets_are_made_in_slices():
     assert [b.column(2).to_pylist() for b in ones] == [[key] for b in got for key in b.column(2).to_pylist()]
 
 
+def test_jaccard_prefixes_are_dealt_out_in_ten_bytes_a_shingle():
+    texts = [" ".join(f"w{(k * 7 + j) % 400}" for j in range(30 + k % 90)) for k in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    frequent = bytes(jaccard_join.FREQUENT_BITS // 8)
+    packed = list(jaccard_join._prefixes(5, frequent, 7, 5)(iter([batch])))
+    sizes = [len(s) for s in {jaccard_join._set_id(s): s for s in (jaccard_join.shingle_set(t, 5) for t in texts)}.values()]
+    assert sum(len(v) for b in packed for v in b.column(1).to_pylist()) == 10 * sum(n - math.ceil(0.75 * n) + 1 for n in sizes)
+    assert [b.column(0).to_pylist() for b in packed] == [list(range(7))]
+    got = [tuple(r.values()) for b in jaccard_join._unpacked(iter(packed)) for r in b.to_pylist()]
+    for tag, n in ((int.from_bytes(jaccard_join._set_id(s)[:5], "big"), len(s)) for s in (jaccard_join.shingle_set(t, 5) for t in texts[:9])):
+        mine = [r for r in got if r[2] == tag]
+        assert {r[1] >> 1 for r in mine} == {jaccard_join._size_class(n)} and sum(r[1] & 1 == 0 for r in mine) == min(n // 7 + 1, len(mine))
+
+
+def test_jaccard_runs_leave_out_sets_that_cannot_link():
+    rows_ = [(1, 20, 5), (1, 22, 6), (1, 23, 7), (1, 26, 8), (1, 40, 9),  # one run under 5; 9 is too large
+             (2, 11, 1), (2, 20, 5), (2, 34, 2), (2, 36, 3),  # 1 meets no smaller set, 2 stands alone with 3
+             (3, 9, 4), (3, 13, 5), (4, 30, 6), (4, 30, 6), (4, 30, 7)]
+    want = [(5, 6), (5, 7), (5, 8), (2, 3), (6, 7)]
+    for step in (1, 2, 3, len(rows_)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_[k:k + step], strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["shingle", "rank", "tag"])
+                   for k in range(0, len(rows_), step)]
+        assert [tuple(r.values()) for b in jaccard_join._reached(iter(batches)) for r in b.to_pylist()] == want
+
+
+def test_jaccard_join_is_exact_where_tags_repeat(spark, small):
+    docs = small.select("doc_id", "text")
+    want = brute_classes(rows(docs))
+    assert {tuple(r) for r in jaccard_join.jaccard_classes(docs, tag_bytes=1).collect()} == want
+
+
+def test_jaccard_links_are_made_once(spark, small, monkeypatch, capsys):
+    inner = jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda edges, u, v: (edges.explain(), inner(edges, u, v))[1])
+    jaccard_join.jaccard_classes(small)
+    assert "MapInArrow" not in capsys.readouterr().out
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (9, 8), (7, 7), (None, 1), (3, 5)] + [(k, k + 1) for k in range(100, 160)]
     got = dict(rows(components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b")))
