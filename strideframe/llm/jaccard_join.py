@@ -38,13 +38,14 @@ MOST_FREQUENT = 1 << 20
 SLICE = 512
 #: A shingle of a prefix as it is dealt out: the upper half of its hash, a tag of its set, and the
 #: set's size class twice, plus one if a smaller or equal set must have met it before.
-POSTING = np.dtype([("rest", "<u4"), ("tag", "<u4"), ("tag_top", "u1"), ("rank", "u1")])
+POSTING = np.dtype([("rest", "<i4"), ("tag", "<i4"), ("tag_top", "i1"), ("rank", "i1")])
 TAG_BYTES = 5
 #: Size classes a factor of 1 / similarity spans, and their most distance between linked sets (one more, for rounding).
 CLASSES = 2
 #: Postings that a bucket holds on average, and that a task packs at a time.
 BUCKET = 1 << 16
-PACK = 1 << 19
+PACK = 1 << 18
+MOST_BUCKETS = 1 << 23
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -115,10 +116,11 @@ def _prefixes(width: int, frequent: bytes, buckets: int, tag_bytes: int):
 
     def packed(postings: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(bucket, kind="stable")
-        starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        ends = np.append(starts, len(order)).astype(np.int32) * POSTING.itemsize
-        data = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(postings[order].tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(bucket[order][starts]), data], names=["bucket", "postings"])
+        postings, bucket = postings[order], bucket[order]
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        offsets = pa.array(np.append(starts, len(order)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(postings[c]))) for c in POSTING.names]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), *lists], names=["bucket", *POSTING.names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -135,11 +137,11 @@ def _prefixes(width: int, frequent: bytes, buckets: int, tag_bytes: int):
                 late = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
                 ordered = np.concatenate([shingles[~late], shingles[late]]) if late.any() else shingles
                 ordered = ordered[:n - (-(-low * n // high)) + 1]
-                tag = int.from_bytes(key[:tag_bytes], "big")
+                tag = np.int64(int.from_bytes(key[:tag_bytes], "big"))
                 postings = np.empty(len(ordered), POSTING)
-                postings["rest"] = ordered >> np.uint64(32)
-                postings["tag"], postings["tag_top"] = tag & 0xFFFFFFFF, tag >> 32
-                postings["rank"] = 2 * _size_class(n) + (np.arange(len(ordered)) * (high + low) > n * (high - low))
+                postings["rest"] = (ordered >> np.uint64(32)).astype(np.int32)
+                postings["tag"], postings["tag_top"] = tag.astype(np.int32), (tag >> 32).astype(np.int8)
+                postings["rank"] = (2 * _size_class(n) + (np.arange(len(ordered)) * (high + low) > n * (high - low))).astype(np.int8)
                 held.append(postings)
                 places.append(((ordered & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64))
                 n_held += len(ordered)
@@ -151,42 +153,38 @@ def _prefixes(width: int, frequent: bytes, buckets: int, tag_bytes: int):
     return run
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE // 2):
-            part = batch.slice(at, SLICE // 2)
-            rows = part.column(1).to_pylist()
-            postings = np.frombuffer(b"".join(rows), POSTING)
-            bucket = np.repeat(part.column(0).to_numpy(), [len(r) // POSTING.itemsize for r in rows])
-            tags = postings["tag"].astype(np.int64) | postings["tag_top"].astype(np.int64) << 32
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket << 32 | postings["rest"]), pa.array(postings["rank"].astype(np.int32)), pa.array(tags)], names=["shingle", "rank", "tag"])
+def _unpacked(packed: DataFrame) -> DataFrame:
+    """(place, tag): bucket, rest and rank of each posting in one number, which sorts by shingle and rank."""
+    unsigned = lambda c, most: F.col(c)[F.col("at")].cast("long").bitwiseAND(F.lit(most))
+    each = packed.select("*", F.posexplode("rest").alias("at", "value"))
+    place = F.shiftleft("bucket", 40).bitwiseOR(F.shiftleft(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)), 8)).bitwiseOR(unsigned("rank", 0xFF))
+    return each.select(place.alias("place"), unsigned("tag", 0xFFFFFFFF).bitwiseOR(F.shiftleft(unsigned("tag_top", 0xFF), 32)).alias("tag"))
 
 
 def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pivot, tag) of the runs of each shingle; the input is sorted by shingle and rank.
+    """(pivot, tag) of the runs of each shingle; the input is sorted by place.
 
     A set goes on if it stands at most the similarity's distance behind one that has the shingle
     early. The last such set is all that is carried from batch to batch, under its pivot's tag.
     """
-    shingle, rank, tag = (np.array([], np.int64) for _ in range(3))
+    place, tag = np.array([], np.int64), np.array([], np.int64)
     for batch in batches:
-        shingle, rank, tag = (np.concatenate([old, new.to_numpy()]) for old, new in zip((shingle, rank, tag), batch.columns, strict=True))
-        sizes, places = rank >> 1, np.arange(len(rank))
-        early = np.flatnonzero(rank & 1 == 0)
+        place, tag = (np.concatenate([old, new.to_numpy()]) for old, new in zip((place, tag), batch.columns, strict=True))
+        shingle, sizes = place >> 8, (place & 0xFF) >> 1
+        early = np.flatnonzero(place & 1 == 0)
         if not len(early):
-            shingle, rank, tag = shingle[:0], rank[:0], tag[:0]
+            place, tag = place[:0], tag[:0]
             continue
         begins = np.ones(len(early), bool)
         begins[1:] = (shingle[early[1:]] != shingle[early[:-1]]) | (sizes[early[1:]] - sizes[early[:-1]] > CLASSES + 1)
         pivot = early[np.maximum.accumulate(np.where(begins, np.arange(len(early)), 0))]
-        last = np.searchsorted(early, places, "right") - 1
+        last = np.searchsorted(early, np.arange(len(place)), "right") - 1
         near = early[last]
         meets = (last >= 0) & (shingle[near] == shingle) & (sizes - sizes[near] <= CLASSES + 1)
         pivots = tag[pivot[last]]
         meets &= pivots != tag
         yield pa.RecordBatch.from_arrays([pa.array(pivots[meets]), pa.array(tag[meets])], names=["pivot", "tag"])
-        shingle, rank, tag = shingle[early[-1:]], rank[early[-1:]], tag[pivot[-1:]]
+        place, tag = place[early[-1:]], tag[pivot[-1:]]
 
 
 def _frequent_bits(profiles: DataFrame) -> bytes:
@@ -370,8 +368,9 @@ def jaccard_classes(docs: DataFrame, width: int = WORDS_A_SHINGLE, block: int =
 
     low, high = SIMILAR
     postings = profiles.agg(F.sum(F.col("n") - F.ceil(F.col("n") * low / high) + 1)).head()[0] or 0
-    packed = texts.select("text").mapInArrow(_prefixes(width, frequent, -(-postings // BUCKET) or 1, tag_bytes), "bucket long, postings binary")
-    met = packed.repartition("bucket").mapInArrow(_unpacked, "shingle long, rank int, tag long").sortWithinPartitions("shingle", "rank", "tag")
+    buckets = min(MOST_BUCKETS, -(-postings // BUCKET) or 1)
+    packed = texts.select("text").mapInArrow(_prefixes(width, frequent, buckets, tag_bytes), "bucket long, rest array<int>, tag array<int>, tag_top array<tinyint>, rank array<tinyint>")
+    met = _unpacked(packed.repartition("bucket")).sortWithinPartitions("place", "tag")  # by Spark: a task keeps one Python worker
     reach = kept_table(met.mapInArrow(_reached, "pivot long, tag long").distinct(), "reach")
 
     tagged = sets.select("key", "n", "sketch", F.conv(F.hex(F.substring("key", 1, tag_bytes)), 16, 10).cast("long").alias("tag"))

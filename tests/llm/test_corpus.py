@@ -199,18 +199,20 @@ def test_jaccard_sets_are_made_in_slices():
     assert [b.column(2).to_pylist() for b in ones] == [[key] for b in got for key in b.column(2).to_pylist()]
 
 
-def test_jaccard_prefixes_are_dealt_out_in_ten_bytes_a_shingle():
+def test_jaccard_prefixes_are_dealt_out_in_ten_bytes_a_shingle(spark):
     texts = [" ".join(f"w{(k * 7 + j) % 400}" for j in range(30 + k % 90)) for k in range(300)]
+    sets = {jaccard_join._set_id(s): s for s in (jaccard_join.shingle_set(t, 5) for t in texts)}
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
-    frequent = bytes(jaccard_join.FREQUENT_BITS // 8)
-    packed = list(jaccard_join._prefixes(5, frequent, 7, 5)(iter([batch])))
-    sizes = [len(s) for s in {jaccard_join._set_id(s): s for s in (jaccard_join.shingle_set(t, 5) for t in texts)}.values()]
-    assert sum(len(v) for b in packed for v in b.column(1).to_pylist()) == 10 * sum(n - math.ceil(0.75 * n) + 1 for n in sizes)
+    packed = list(jaccard_join._prefixes(5, bytes(jaccard_join.FREQUENT_BITS // 8), 7, 5)(iter([batch])))
     assert [b.column(0).to_pylist() for b in packed] == [list(range(7))]
-    got = [tuple(r.values()) for b in jaccard_join._unpacked(iter(packed)) for r in b.to_pylist()]
-    for tag, n in ((int.from_bytes(jaccard_join._set_id(s)[:5], "big"), len(s)) for s in (jaccard_join.shingle_set(t, 5) for t in texts[:9])):
-        mine = [r for r in got if r[2] == tag]
-        assert {r[1] >> 1 for r in mine} == {jaccard_join._size_class(n)} and sum(r[1] & 1 == 0 for r in mine) == min(n // 7 + 1, len(mine))
+    assert sum(c.values.nbytes for b in packed for c in b.columns[1:]) == 10 * sum(n - math.ceil(0.75 * n) + 1 for n in map(len, sets.values()))
+    lists = spark.createDataFrame(pa.Table.from_batches(packed))
+    got = rows(jaccard_join._unpacked(lists))
+    for key, s in list(sets.items())[:9]:
+        mine = [place for place, tag in got if tag == int.from_bytes(key[:5], "big")]
+        prefix = s[:len(s) - math.ceil(0.75 * len(s)) + 1].tolist()
+        assert sorted(p >> 8 for p in mine) == sorted(((h & 0xFFFFFFFF) * 7 >> 32) << 32 | h >> 32 for h in prefix)
+        assert {(p & 0xFF) >> 1 for p in mine} == {jaccard_join._size_class(len(s))} and sum(p & 1 == 0 for p in mine) == len(s) // 7 + 1
 
 
 def test_jaccard_runs_leave_out_sets_that_cannot_link():
@@ -219,11 +221,19 @@ def test_jaccard_runs_leave_out_sets_that_cannot_link():
              (3, 9, 4), (3, 13, 5), (4, 30, 6), (4, 30, 6), (4, 30, 7)]
     want = [(5, 6), (5, 7), (5, 8), (2, 3), (6, 7)]
     for step in (1, 2, 3, len(rows_)):
-        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_[k:k + step], strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["shingle", "rank", "tag"])
-                   for k in range(0, len(rows_), step)]
+        parts = [rows_[k:k + step] for k in range(0, len(rows_), step)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([s << 8 | r for s, r, _ in p]), pa.array([t for _, _, t in p])], names=["place", "tag"]) for p in parts]
         assert [tuple(r.values()) for b in jaccard_join._reached(iter(batches)) for r in b.to_pylist()] == want
 
 
+def test_jaccard_tasks_keep_one_python_worker(spark, small, monkeypatch, capsys):
+    keep = jaccard_join.kept_table
+    monkeypatch.setattr(jaccard_join, "kept_table", lambda frame, label: (label == "reach" and frame.explain(), keep(frame, label))[1])
+    jaccard_join.jaccard_classes(small)
+    plans = re.split(r"Exchange", capsys.readouterr().out)
+    assert len(plans) > 2 and all(p.count("MapInArrow") <= 1 for p in plans)
+
+
 def test_jaccard_join_is_exact_where_tags_repeat(spark, small):
     docs = small.select("doc_id", "text")
     want = brute_classes(rows(docs))
